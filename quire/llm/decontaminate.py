@@ -1,16 +1,17 @@
 """Benchmark decontamination by canonical templates; DataFrame functions only.
 
 Texts become lower-case words and numbers. Numbers, names (capitalised words within a sentence) and
-units (after a number) become typed placeholders that remember what they stood for. Windows of five
-tokens are hashed and joined with those of the benchmark items; windows are also taken with names as
-plain words, as a capital may be an accident of where a passage was pasted. A window of which over
-two tokens are placeholders says too little as a template and is compared word by word.
+units (after a number) become typed placeholders. Windows of five tokens are hashed and joined with
+those of the benchmark items, in three forms: with numbers and units as placeholders; with names
+too; and word by word. (A capital may be an accident of where a passage was pasted, so names also
+count as plain words.) A window of more than two placeholders says too little as a template and only
+counts word by word.
 
 A match is a pair of equal windows, and all pairs at one distance between document and item form an
 alignment. An alignment's slots are consistent if each filler of the item always meets the same
 filler of the document and the other way round, so a question asked with other numbers or names
-still counts, while accidental matches don't. A document is contaminated by an item if consistent
-alignments cover 0.8 or more of the item's windows.
+still counts, while accidental matches don't. Windows without a placeholder are equal as they are.
+A document is contaminated by an item if 0.8 or more of the item's windows are matched.
 
 Benchmark windows are broadcast up to ``broadcast_rows`` of them and shuffled beyond.
 
@@ -26,78 +27,88 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-WINDOW, COVER = 5, 0.8
+WINDOW, COVER, MOST_SLOTS = 5, 0.8, 2
 #: Words for units that follow a number. Fixed values.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg ton tons pound pounds ounce ounces l ml liter liters "
     "litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
     "percent dollar dollars cent cents euro euros degree degrees meter meters metre metres gram grams kilometers kilometres kilograms"
 ).split()
-NAME = "\ue001"
+NAME = ""
+NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+FIVE = r"(?=([^ ]++(?: [^ ]++){4}+))[^ ]++"
 
 
-def _tokens(text: Column) -> tuple[Column, Column]:
-    """Tokens of a text column ``t``, and the text with its names marked that ``t`` should hold."""
-    marked = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
-    return F.expr(rf"regexp_extract_all(lower(t), '{NAME}?\\p{{L}}[\\p{{L}}\\p{{M}}]*|[0-9]+(?:[.,:/][0-9]+)*', 0)"), marked
+def _forms(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, low, names, numbers)``: lower-case text with its names marked, and what it has."""
+    marked = F.regexp_replace(F.translate("text", "#" + NAME, "  "), r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
+    r = rows.select(key, F.lower(marked).alias("low"))
+    return r.select(key, "low", F.contains("low", F.lit(NAME)).alias("names"), F.rlike("low", F.lit("[0-9]")).alias("numbers"))
 
 
-def windows(rows: DataFrame, key: str) -> DataFrame:
-    """``(key, i, h, slots)``: windows of rows(key, text); slots: what each placeholder stood for."""
-    tokens, marked = _tokens(F.col("text"))
-    number = lambda t: (t >= "0") & (t < ":")
-    named = lambda t: F.startswith(t, F.lit(NAME))
-    r = rows.select(key, marked.alias("t")).select(key, tokens.alias("w"))
-    r = r.withColumn("any", F.exists("w", lambda t: number(t) | named(t)))
+def _canonical(names: bool) -> Column:
+    t = F.regexp_replace("low", rf"{NAME}\p{{L}}+", " #name ") if names else F.regexp_replace("low", NAME, "")
+    t = F.when(F.col("numbers"), F.regexp_replace(F.regexp_replace(t, NUMBER, " #number "), rf"#number +(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", "#number #unit")).otherwise(t)
+    return F.trim(F.regexp_replace(t, r"[^#\p{L}\p{M}]+", " "))
 
-    def form(names: bool) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            unit = (i > 0) & number(F.get("w", i - 1)) & t.isin(UNITS)
-            out = F.when(number(t), "#number").when(unit, "#unit")
-            return (out.when(named(t), "#name") if names else out).otherwise(F.regexp_replace(t, NAME, ""))
 
-        return F.when(F.col("any"), F.transform("w", one))
+def _literal() -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace("low", NAME, ""), r"[^\p{L}\p{M}0-9]+", " "))
 
-    r = r.select(key, "any", "w", form(True).alias("a"), F.when(F.exists("w", named), form(False)).alias("b"))
-    r = r.select(key, "any", "a", "b", F.when(F.col("any"), F.transform("w", lambda t: F.regexp_replace(t, NAME, ""))).otherwise(F.col("w")).alias("w"))
-    r = r.select(key, "any", "w", "a", "b", F.transform("w", lambda t: F.xxhash64(t)).alias("hw"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW, F.lit(0)))
-    blank = F.lit(None).cast("string")
 
-    def plain() -> Column:
-        return F.transform(starts, lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("hw", i + 1, WINDOW)).alias("h"), blank.alias("slots")))
+def _raw() -> Column:
+    """Tokens as they were, one for each token of a canonical form."""
+    return F.expr(rf"regexp_extract_all(replace(low, '{NAME}', ''), '[\\p{{L}}\\p{{M}}]+|{NUMBER}', 0)")
 
-    def template(c: str) -> Column:
-        def one(i: Column) -> Column:
-            w = F.slice(c, i + 1, WINDOW)
-            held = F.filter(F.arrays_zip(w.alias("c"), F.slice("w", i + 1, WINDOW).alias("v")), lambda p: F.startswith(p["c"], F.lit("#")))
-            few = F.size(held) <= 2
-            slots = F.array_join(F.transform(held, lambda p: F.concat(p["c"], F.lit("="), p["v"])), "\x01")
-            return F.struct(i.alias("i"), F.xxhash64(F.when(few, F.transform(w, lambda t: F.xxhash64(t))).otherwise(F.slice("hw", i + 1, WINDOW))).alias("h"), F.when(few & (F.size(held) > 0), slots).otherwise(blank).alias("slots"))
 
-        return F.transform(starts, one)
+def _all_windows(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, form, i, h)`` in every form that differs from the ones before it; a text of fewer
+    tokens than a window is one window."""
+    r = _forms(rows, key)
+    form = lambda n, t: F.struct(F.lit(n).alias("form"), t.alias("t"))
+    forms = F.array_compact(F.array(form(0, _canonical(False)), F.when(F.col("names"), form(1, _canonical(True))), F.when(F.col("numbers"), form(2, _literal()))))
+    r = r.select(key, F.explode(forms).alias("f")).select(key, "f.form", "f.t")
+    r = r.select(key, "form", "t", F.expr(f"regexp_extract_all(t, '{FIVE}', 1)").alias("five"))
+    w = F.when(F.size("five") > 0, F.col("five")).when(F.length("t") > 0, F.array("t"))
+    return r.select(key, "form", F.posexplode(w).alias("i", "w")).select(key, "form", "i", F.xxhash64("w").alias("h"))
 
-    both = F.when(~F.col("any"), plain()).when(F.col("b").isNull(), template("a")).otherwise(F.concat(template("a"), template("b")))
-    return r.select(key, F.explode(F.when(F.size("w") > 0, both)).alias("x")).select(key, "x.i", "x.h", "x.slots")
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """``(item_id, j, h, at, filled)``: at and filled are the places and fillers of placeholders."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    plain = _all_windows(rows, "item_id")
+    f = _forms(rows, "item_id").select("item_id", _raw().alias("raw"), F.split(_canonical(False), " ").alias("c0"), F.split(_canonical(True), " ").alias("c1"))
+    w = plain.join(f, "item_id")
+    canon = F.slice(F.when(F.col("form") == 0, F.col("c0")).otherwise(F.col("c1")), F.col("i") + 1, WINDOW)
+    at = F.when(F.col("form") == 2, F.array().cast("array<int>")).otherwise(F.filter(F.transform(canon, lambda c, k: F.when(F.startswith(c, F.lit("#")), k)), lambda k: k.isNotNull()))
+    w = w.select("item_id", F.col("i").alias("j"), "h", at.alias("at"), "raw")
+    w = w.where(F.size("at") <= MOST_SLOTS)
+    return w.select("item_id", "j", "h", "at", F.transform("at", lambda k: F.get("raw", F.col("j") + k)).alias("filled")).distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER, broadcast_rows: int = 500_000) -> DataFrame:
     """``(doc_id, item_id, n_windows, n_matched, coverage, n_slots)`` for every document and the
     items it holds; docs(doc_id, text), items(item_id, text)."""
-    asked = cut(windows(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "item_id").withColumnRenamed("i", "j").withColumnRenamed("slots", "filled").distinct())
-    sizes = asked.groupBy("item_id").agg(F.count_distinct("j").alias("n_windows"))
-    small = asked.count() <= broadcast_rows
-    side = F.broadcast(asked) if small else asked
-    own = windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
-    hits = cut(own.join(side, "h").select("doc_id", "item_id", "i", "j", (F.col("i") - F.col("j")).alias("apart"), "slots", "filled").distinct())
-    pairs = hits.where("slots is not null").select("doc_id", "item_id", "apart", F.explode(F.arrays_zip(F.split("filled", "\x01").alias("x"), F.split("slots", "\x01").alias("y"))).alias("p"))
-    met = pairs.groupBy("doc_id", "item_id", "apart").agg(*(F.size(F.collect_set(c)).alias(n) for c, n in (("p", "n_pairs"), ("p.x", "n_x"), ("p.y", "n_y"))))
-    met = cut(met.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"), F.col("apart").alias("a"), "n_pairs", "n_x", "n_y"))
-    of = hits.join(met, F.expr("doc_id <=> d and item_id = t and apart = a"), "left")
-    fine = of.where("n_pairs is null or (n_pairs = n_x and n_pairs = n_y)")
-    found = fine.groupBy("doc_id", "item_id").agg(F.size(F.collect_set("j")).cast("long").alias("n_matched"), F.coalesce(F.max("n_x"), F.lit(0)).cast("long").alias("n_slots"))
+    asked = cut(item_windows(items))
+    sizes = _forms(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "item_id")
+    sizes = sizes.groupBy("item_id").agg(F.max(F.greatest(F.size(_raw()) - (WINDOW - 1), F.lit(1))).cast("long").alias("n_windows"))
     sizes = cut(sizes)
-    out = found.join(F.broadcast(sizes) if small else sizes, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    small = asked.count() <= broadcast_rows
+    side = lambda x: F.broadcast(x) if small else x
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hits = cut(_all_windows(text, "doc_id").join(side(asked), "h").select("doc_id", "item_id", "i", "j", "at", "filled").distinct())
+    plain = hits.where(F.size("at") == 0).select("doc_id", "item_id", "j", F.lit(0).alias("n_slots"))
+    slotted = hits.where(F.size("at") > 0)
+    those = cut(slotted.select(F.col("doc_id").alias("d")).distinct())
+    raw = _forms(text.join(those, F.expr("doc_id <=> d"), "left_semi"), "doc_id").select(F.col("doc_id").alias("d"), _raw().alias("raw"))
+    met = slotted.join(raw, F.expr("doc_id <=> d")).select("doc_id", "item_id", "j", (F.col("i") - F.col("j")).alias("apart"), F.arrays_zip("filled", F.transform("at", lambda k: F.get("raw", F.col("i") + k)).alias("met")).alias("slots"))
+    met = cut(met)
+    one = met.select("doc_id", "item_id", "apart", F.explode("slots").alias("s")).groupBy("doc_id", "item_id", "apart")
+    fits = one.agg(*(F.size(F.collect_set(c)).alias(n) for c, n in (("s", "n"), ("s.filled", "n_slots"), ("s.met", "n_met")))).where("n = n_slots and n = n_met")
+    fits = cut(fits.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"), F.col("apart").alias("a"), "n_slots"))
+    fine = met.join(fits, F.expr("doc_id <=> d and item_id = t and apart = a")).select("doc_id", "item_id", "j", "n_slots")
+    found = plain.unionAll(fine).groupBy("doc_id", "item_id").agg(F.size(F.collect_set("j")).cast("long").alias("n_matched"), F.max("n_slots").cast("long").alias("n_slots"))
+    out = found.join(side(sizes), "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     return out.where(F.col("coverage") >= cover).select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "n_slots")
 
 
