@@ -70,18 +70,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _points(bits: int):
+    """Deals fingerprints to the points at distance 1 or less on the grid of segments of ``bits``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 64 // bits
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            seg = (fp[:, None] >> np.arange(0, 64, bits, dtype=np.uint64)) & np.uint64((1 << bits) - 1)
+            count = np.bitwise_count(seg).astype(np.int64)
+            place = np.array([(bits + 1) ** i if bits > 1 else 1 << i for i in range(n)], np.uint64)
+            at = (count.astype(np.uint64) * place).sum(axis=1, dtype=np.uint64)
+            up, down = at[:, None] + place, at[:, None] - place
+            point = np.column_stack([at, up, down])
+            ok = np.column_stack([np.ones(len(fp), bool), count < bits, count > 0])
+            row = np.nonzero(ok)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[row].view(np.int64)), pa.array(point[ok].view(np.int64))], ["fp", "point"])
+
+    return run
+
+
 def links(fps: DataFrame, cell_cap: int = 32) -> DataFrame:
     """Edges ``(a, b)`` that connect all distinct fingerprints within 2 bits of each other."""
-    nibble = [F.bit_count(F.shiftrightunsigned("fp", 4 * i).bitwiseAND(15)).cast("long") for i in range(16)]
-    base = sum((n * 5**i for i, n in enumerate(nibble[1:], 1)), nibble[0])
-    grid = fps.select("fp", base.alias("g"), *[n.alias(f"n{i}") for i, n in enumerate(nibble)])
-    near = [F.col("g")] + [F.when(F.col(f"n{i}") < 4, F.col("g") + 5**i) for i in range(16)] + [F.when(F.col(f"n{i}") > 0, F.col("g") - 5**i) for i in range(16)]
-    cells = grid.select("fp", F.explode(F.array(*near)).alias("cell")).where("cell is not null")
-    held = cells.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where("n > 1")
-    small = held.where(F.col("n") <= cell_cap).groupBy("cell").agg(F.collect_list("fp").alias("all")).select("all", F.explode("all").alias("a"))
+    cells = fps.select("fp").mapInArrow(_points(4), "fp long, point long")
+    held = cells.withColumn("n", F.count("*").over(Window.partitionBy("point"))).where("n > 1")
+    small = held.where(F.col("n") <= cell_cap).groupBy("point").agg(F.collect_list("fp").alias("all")).select("all", F.explode("all").alias("a"))
     pairs = small.select("a", F.explode(F.filter("all", lambda b: (b > F.col("a")) & (F.bit_count(b.bitwiseXOR(F.col("a"))) <= 2))).alias("b"))
     crowd = held.where(F.col("n") > cell_cap).select("fp").distinct()
-    points = crowd.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)])).alias("point"))
+    points = crowd.mapInArrow(_points(1), "fp long, point long")
     stars = points.select(F.col("fp").alias("a"), F.min("fp").over(Window.partitionBy("point")).alias("b")).where("a <> b")
     return pairs.unionAll(stars).distinct()
 
