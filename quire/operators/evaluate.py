@@ -10,13 +10,14 @@ from ..functions.text import collapse, formatting, strip_formatting, words
 SUMS = ("char_distance", "ref_chars", "word_distance", "ref_words", "content_char_distance", "content_ref_chars", "content_word_distance", "content_ref_words", "hyp_pages", "ref_pages", "hyp_headings", "ref_headings", "hyp_emphasis", "ref_emphasis")
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of words, each word as one character of its own alphabet.
+def word_distance(a: Column, b: Column, alphabet: Column) -> Column:
+    """Edit distance of two arrays of words, each word as one character for its place in the alphabet
+    of both (I1). The alphabet should be a column of its own, so that it is made once a row; up to
+    35,000 different words in a pair."""
+    def as_text(x: Column) -> Column:
+        code = F.transform(x, lambda w: F.lpad(F.hex(F.array_position(alphabet, w) + 19967), 4, "0"))
+        return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
-    Up to 35,000 different words in a pair."""
-    alphabet = F.array_distinct(F.concat(a, b))
-    code = F.map_from_arrays(alphabet, F.transform(alphabet, lambda w, i: F.decode(F.unhex(F.lpad(F.hex(i + 19968), 4, "0")), "UTF-16BE")))
-    as_text = lambda x: F.array_join(F.transform(x, lambda w: F.element_at(code, w)), "")
     return F.levenshtein(as_text(a), as_text(b))
 
 
@@ -42,12 +43,13 @@ def page_metrics(pairs: DataFrame, keep: list[str]) -> DataFrame:
     cr, ch = collapse(strip_formatting(F.col("ref"))), collapse(strip_formatting(F.col("hyp")))
     p = pairs.select(*keep, r.alias("r"), h.alias("h"), cr.alias("cr"), ch.alias("ch"), *(F.size(v).alias(f"{s}_{k}") for s in ("ref", "hyp") for k, v in formatting(F.col(s)).items() if k in ("page", "heading", "bold", "italic")))
     p = p.select("*", *(words(F.col(c)).alias("w" + c) for c in ("r", "h", "cr", "ch")))
+    p = p.select("*", *(F.array_distinct(F.concat("w" + x, "w" + y)).alias("a" + x) for x, y in (("r", "h"), ("cr", "ch"))))
     return p.select(
         *keep,
         F.levenshtein("r", "h").cast("long").alias("char_distance"), F.length("r").cast("long").alias("ref_chars"), F.length("h").cast("long").alias("hyp_chars"),
-        word_distance(F.col("wr"), F.col("wh")).cast("long").alias("word_distance"), F.size("wr").cast("long").alias("ref_words"), F.size("wh").cast("long").alias("hyp_words"),
+        word_distance(F.col("wr"), F.col("wh"), F.col("ar")).cast("long").alias("word_distance"), F.size("wr").cast("long").alias("ref_words"), F.size("wh").cast("long").alias("hyp_words"),
         F.levenshtein("cr", "ch").cast("long").alias("content_char_distance"), F.length("cr").cast("long").alias("content_ref_chars"),
-        word_distance(F.col("wcr"), F.col("wch")).cast("long").alias("content_word_distance"), F.size("wcr").cast("long").alias("content_ref_words"),
+        word_distance(F.col("wcr"), F.col("wch"), F.col("acr")).cast("long").alias("content_word_distance"), F.size("wcr").cast("long").alias("content_ref_words"),
         *(F.col(f"{s}_{k}").cast("long").alias(f"{s}_{k}s") for s in ("hyp", "ref") for k in ("page", "heading")),
         *((F.col(f"{s}_bold") + F.col(f"{s}_italic")).cast("long").alias(f"{s}_emphasis") for s in ("hyp", "ref")),
     )
