@@ -24,10 +24,14 @@ entries in the order of their text; extra columns are ignored; an empty table gi
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import sys
+import types
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -166,52 +170,75 @@ class Reader:
         return next((v for k, v in self._block(lo) if k == key), None) if lo < len(self.index) else None
 
 
-class Encoder:
-    """Ids of texts by a file of the tokenizers library.
+class Encoder(dict):
+    """Ids of texts by a file of the tokenizers library; as a table, the ids of pieces behind a space.
 
     Byte-level pre-tokens never reach back over a space that follows a non-space, so a text splits
-    there into pieces that encode on their own; pieces repeat, and a bounded table remembers their
-    ids. Texts where spaces follow each other are encoded whole.
+    there into pieces that encode on their own, and pieces repeat. The table is bounded: it is
+    emptied between texts once it is full. Texts where spaces follow each other are encoded whole.
     """
 
-    def __init__(self, path: str, held: int = 400_000) -> None:
+    def __init__(self, path: str, held: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.of = Tokenizer.from_file(path)
+        self.of, self.held = Tokenizer.from_file(path), held
         self.of.encode_special_tokens = True
-        self.wide = self.of.get_vocab_size() > 1 << 16
-        self.held, self.known = held, {}
+        self.kind = "I" if self.of.get_vocab_size() > 1 << 16 else "H"
+        self.id_bytes = 4 if self.kind == "I" else 2
+        self.byte_level = json.loads(self.of.to_str())["pre_tokenizer"] == BYTE_LEVEL
+        self.stops = {c: self.whole(c) for c in (",", ".")}
 
     def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'I' if self.wide else 'H'}", *ids)
+        return array(self.kind, ids).tobytes()
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return self.pack(self.of.encode(text, add_special_tokens=False).ids)
 
-    def __call__(self, text: str | None, end: bytes) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
+        stop = self.stops.get(piece[-1:], b"")
+        word = piece[:-1] if stop else piece
+        # a space and Latin letters are one pre-token, a stop behind them another
+        if not self.byte_level or not word.isalpha() or max(word) >= "\u0250":
+            ids = self.whole(" " + piece)
+        elif stop:
+            ids = self[word] + stop
+        else:
+            text = word if word.isascii() else "".join(map(BYTE_LETTERS.__getitem__, word.encode()))
+            ids = self.pack([t.id for t in self.of.model.tokenize("\u0120" + text)])
+        self[piece] = ids
+        return ids
+
+    def encode(self, text: str | None, end: bytes) -> bytes:
+        """Ids of a text with ``end`` behind them."""
         if not text:
             return end
-        if "  " in text:
-            return self._whole(text) + end
-        pieces = text.split(" ")
-        pieces[1:] = [" " + p for p in pieces[1:]]
-        if pieces[0] == "":
-            del pieces[0]
-        known = self.known
-        try:
-            out = [known[p] for p in pieces]
-        except KeyError:
-            new = list({p for p in pieces if p not in known})
-            if len(known) + len(new) > self.held:
-                known.clear()
-                new = list(set(pieces))
-            small = [p for p in new if len(p) <= 64]
-            extra = {p: self._whole(p) for p in new if len(p) > 64}
-            known.update((p, self.pack(e.ids)) for p, e in zip(small, self.of.encode_batch(small, add_special_tokens=False)))
-            out = [known[p] if p in known else extra[p] for p in pieces]
-        out.append(end)
-        return b"".join(out)
+        if "  " in text or not self.byte_level:
+            return self.whole(text) + end
+        first, *pieces = text.split(" ")
+        if len(self) > self.held:
+            self.clear()
+        return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, pieces)) + end
+
+
+def _encoder(path: str) -> Encoder:
+    """One encoder for each Python worker and file, kept between its tasks."""
+    kept = sys.modules.setdefault("_quire_worker", types.ModuleType("_quire_worker")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: visible Latin-1 characters stand
+    for themselves, the others for the code points from 256 on, in order."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(other)) for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -228,8 +255,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | Non
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
-        end, sink, writer = encode.pack([end_id]), None, None
+        encoder = _encoder(tokenizer)
+        end, sink, writer = encoder.pack([end_id]), None, None
         for b in batches:
             for part, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if writer is None:
@@ -237,10 +264,10 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | Non
                     fs.create_dir(root, recursive=True)
                     shard, own = part, f"{root}/.{part:06d}-{uuid.uuid4().hex}"
                     sink = fs.open_output_stream(own)
-                    writer, first, before, copy = Writer(sink, 4 if encode.wide else 2), doc_id, (), 0
+                    writer, first, before, copy = Writer(sink, encoder.id_bytes), doc_id, (), 0
                 copy = copy + 1 if before == (doc_id,) else 0
                 before = (doc_id,)
-                writer.add(key_of(doc_id, copy), encode(text, end))
+                writer.add(key_of(doc_id, copy), encoder.encode(text, end))
         if writer is not None:
             writer.close()
             size = sink.tell()
