@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import strip
 
@@ -26,7 +27,7 @@ def char_run(text: Column, most: int = 75) -> Column:
     return F.rlike(text, F.lit(r"(?d)(.)\1{%d,}" % (most - 1)))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _substring_loop(s: pd.Series) -> pd.Series:
     def loops(t: str) -> bool:
         for size in range(30, min(80, len(t) // 15) + 1, 4):

@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WS = r"(?U)[\s\x1c-\x1f]"
 #: Legacy numeral icons that become bullets. Fixed values.
@@ -53,7 +54,7 @@ def is_error_placeholder(c: Column) -> Column:
     return F.coalesce(F.startswith(F.lower(F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+", "")), F.lit("[transcription error")), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
@@ -71,7 +72,7 @@ def dehyphenate(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)(\w{2,}\p{javaLowerCase})-\n(\p{javaLowerCase}\w+)|(\w{3,}-\n\w{2,})", "$1$2$3")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _expand_tabs(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "\n".join(line.expandtabs(8) for line in x.split("\n")))
 
@@ -104,7 +105,7 @@ def is_unwrappable(line: Column) -> Column:
     )
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def auto_width(s: pd.Series) -> pd.Series:
     """Mean over blocks of three lines or more of their mean line length, 20 at least, 80 if none."""
     def width(text: str) -> int:
@@ -115,7 +116,7 @@ def auto_width(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else width(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def wrap(s: pd.Series, width: pd.Series) -> pd.Series:
     """Lines broken at the last space within the width, or within a word that is longer."""
     def one(text: str, n: int) -> str:

@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class _Text(HTMLParser):
@@ -35,7 +36,7 @@ def text_of(html: str) -> str:
     return "\n".join(out).strip("\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(s: pd.Series) -> pd.Series:
     """Text content without scripts and styles, lines stripped, one blank line at most in a row."""
     return s.map(lambda x: None if x is None else text_of(x))
