@@ -4,7 +4,7 @@ Texts become lower-case words and numbers. Numbers, names (capitalised words wit
 units (after a number) become typed placeholders. Windows of five tokens are hashed and joined with
 those of the benchmark items, in three forms: with numbers and units as placeholders; with names
 too; and word by word. (A capital may be an accident of where a passage was pasted, so names also
-count as plain words.) A window of more than two placeholders says too little as a template and only
+count as plain words.) A window of more than three placeholders says too little as a template and only
 counts word by word.
 
 A match is a pair of equal windows, and all pairs at one distance between document and item form an
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-WINDOW, COVER, MOST_SLOTS = 5, 0.8, 2
+WINDOW, COVER, MOST_SLOTS = 5, 0.8, 3
 #: Words for units that follow a number. Fixed values.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg ton tons pound pounds ounce ounces l ml liter liters "
