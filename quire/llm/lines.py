@@ -70,7 +70,8 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
         copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
         named = cut(own.withColumn("doc", F.struct(F.col("doc_id").isNull().cast("int").alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("id"), copy.alias("copy"))))
     gone = repeated_lines(named.select("doc", "text"), min_lines).groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
-    held = named.join(cut(gone), "doc", "left").select("doc_id", "text", "gone")
+    # a row for each document with deletions, so it is never one to broadcast
+    held = named.join(cut(gone).hint("merge"), "doc", "left").select("doc_id", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
