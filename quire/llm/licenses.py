@@ -7,9 +7,9 @@ Jaccard similarity of over 0.15 with its template; ``BANDS`` bands of one MinHas
 collide with a probability of 1 - 0.85**64, over 0.9999. Candidates are verified by the exact share
 of the template's shingles that the window holds, 0.8 or more.
 
-Windows without any shingle of a template can't match and take no further part: a bit table made
-from the templates (a parameter of the scan, not data) tells them within the row, so text is never
-exploded or shuffled as a whole.
+Windows without any shingle of a template can't match and take no further part: one pass joins all
+shingles with the broadcast shingles of the templates (a parameter of the scan, of fixed size), and
+only the documents and windows around hits are read again.
 
 Defined results: null and empty texts match nothing; templates of fewer than five words are one
 shingle. Rows that repeat a doc_id are judged together; extra columns are ignored.
@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .decontaminate import FIVE
 
-SHINGLE, COVER, BANDS, BITS = 5, 0.8, 64, 1 << 16
+SHINGLE, COVER, BANDS = 5, 0.8, 64
 #: Common notices, abridged where long. Fixed values.
 TEMPLATES = {
     "MIT": "Released under the MIT License",
@@ -41,16 +42,17 @@ TEMPLATES = {
 }
 
 
-def _words(text: str) -> Column:
-    return F.expr(rf"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+', 0)")
+def _cut_up(rows: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """Rows with their text's five-word windows, and the shingles of a row: a shorter text is one,
+    texts without a word have none."""
+    r = rows.select(key, F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")).alias("t"))
+    r = r.select(key, "t", F.expr(f"regexp_extract_all(t, '{FIVE}', 1)").alias("five"))
+    return r, F.when(F.size("five") > 0, F.col("five")).when(F.length("t") > 0, F.array("t"))
 
 
-def shingled(rows: DataFrame, *keep: str) -> DataFrame:
-    """Rows with the shingle hashes ``h`` of their text; texts without a word have none."""
-    r = rows.select(*keep, _words("text").alias("w")).select(*keep, F.transform("w", lambda t: F.xxhash64(t)).alias("hw"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("hw") - SHINGLE, F.lit(0)))
-    h = F.when(F.size("hw") > 0, F.transform(starts, lambda i: F.xxhash64(F.slice("hw", i + 1, SHINGLE))))
-    return r.select(*keep, h.alias("h"))
+def _hashed(rows: DataFrame, key: str) -> DataFrame:
+    r, shingles = _cut_up(rows, key)
+    return r.select(key, F.transform(shingles, lambda x: F.xxhash64(x)).alias("h"))
 
 
 def _minhash(sh: Column) -> Column:
@@ -62,26 +64,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float
     n_windows: windows that match."""
     spark = docs.sparkSession
     given = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license_id string, text string")
-    lists = [(r.license_id, sorted(set(r.h))) for r in shingled(given, "license_id").collect()]  # a parameter, of fixed size
+    lists = [(r.license_id, sorted(set(r.h))) for r in _hashed(given, "license_id").collect()]  # a parameter, of fixed size
     size = lambda h: 1 << max(3, math.ceil(math.log2(len(h) + SHINGLE - 1)))
     known = cut(spark.createDataFrame([(k, size(h), h) for k, h in lists], "license_id string, class int, th array<bigint>"))
-    classes = sorted({size(h) for _, h in lists})
-    bits = [0] * (BITS // 64)
-    for _, h in lists:
-        for x in h:
-            bits[x % (BITS // 64)] |= 1 << (x >> 20) % 64
-    # one string that is folded to an array, as a plan of a thousand literals takes long to analyse
-    table = F.split(F.lit(",".join(str(b - (1 << 64) if b >> 63 else b) for b in bits)), ",").cast("array<bigint>")
-
-    def listed(x: Column) -> Column:
-        return F.getbit(F.get(table, F.pmod(x, F.lit(BITS // 64)).cast("int")), F.pmod(F.shiftright(x, 20), F.lit(64)).cast("int")) == 1
-
-    own = shingled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
-    own = cut(own.where(F.exists("h", listed)))
-    starts = F.explode(F.array(*[F.struct(F.lit(c).alias("class")) for c in classes]))
-    wide = own.select("doc_id", "h", starts.alias("c")).select("doc_id", "h", F.col("c.class").alias("class"))
-    wide = wide.select("doc_id", "class", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("h") - 1) / F.col("class"))), lambda i: F.slice("h", (i * F.col("class") + 1).cast("int"), 2 * F.col("class")))).alias("window", "sh"))
-    wide = cut(wide.where(F.exists("sh", listed)))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    r, shingles = _cut_up(text, "doc_id")
+    each = r.select("doc_id", F.posexplode(shingles).alias("i", "s")).select("doc_id", "i", F.xxhash64("s").alias("s"))
+    hits = cut(each.join(F.broadcast(known.select(F.explode("th").alias("s")).distinct()), "s").select("doc_id", "i").distinct())
+    ids = cut(hits.select(F.col("doc_id").alias("d")).distinct())
+    own = _hashed(text.join(ids, F.expr("doc_id <=> d"), "left_semi"), "doc_id").withColumnRenamed("doc_id", "d")
+    near = hits.select("doc_id", "i", F.explode(F.array(*[F.lit(c) for c in sorted({size(h) for _, h in lists})])).alias("class"))
+    at = F.floor(F.col("i") / F.col("class")).cast("int")
+    near = near.select("doc_id", "class", F.explode(F.array(at, at - 1)).alias("window")).where("window >= 0").distinct()
+    wide = cut(near.join(own, F.expr("doc_id <=> d")).select("doc_id", "class", "window", F.slice("h", F.col("window") * F.col("class") + 1, 2 * F.col("class")).alias("sh")))
     banded = wide.select("doc_id", "class", "window", F.explode(_minhash(F.col("sh"))).alias("m")).select("doc_id", "class", "window", "m.*")
     sought = cut(known.select("license_id", "class", F.explode(_minhash(F.col("th"))).alias("m")).select("license_id", "class", "m.*"))
     found = cut(banded.join(F.broadcast(sought), ["class", "band", "least"]).select("doc_id", "class", "window", "license_id").distinct())
