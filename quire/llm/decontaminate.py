@@ -41,19 +41,25 @@ FIVE = r"(?=([^ ]++(?: [^ ]++){4}+))[^ ]++"
 
 def _forms(rows: DataFrame, key: str) -> DataFrame:
     """``(key, low, names, numbers)``: lower-case text with its names marked, and what it has."""
-    marked = F.regexp_replace(F.translate("text", "#" + NAME, "  "), r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
+    plain = F.replace(F.replace(F.col("text"), F.lit("#"), F.lit(" ")), F.lit(NAME), F.lit(" "))
+    # patterns start with what fails soonest; a-z is within \p{L} but tested as one bit
+    marked = F.regexp_replace(plain, r"\p{Lu}(?<=[a-z\p{L}\p{N},;] \p{Lu})\p{Ll}+", NAME + "$0")
     r = rows.select(key, F.lower(marked).alias("low"))
     return r.select(key, "low", F.contains("low", F.lit(NAME)).alias("names"), F.rlike("low", F.lit("[0-9]")).alias("numbers"))
 
 
+def _unmarked() -> Column:
+    return F.replace(F.col("low"), F.lit(NAME), F.lit(""))
+
+
 def _canonical(names: bool) -> Column:
-    t = F.regexp_replace("low", rf"{NAME}\p{{L}}+", " #name ") if names else F.regexp_replace("low", NAME, "")
+    t = F.regexp_replace("low", rf"{NAME}\p{{L}}+", " #name ") if names else _unmarked()
     t = F.when(F.col("numbers"), F.regexp_replace(F.regexp_replace(t, NUMBER, " #number "), rf"#number +(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", "#number #unit")).otherwise(t)
-    return F.trim(F.regexp_replace(t, r"[^#\p{L}\p{M}]+", " "))
+    return F.trim(F.regexp_replace(t, r"[^#a-z\p{L}\p{M}]+", " "))
 
 
 def _literal() -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace("low", NAME, ""), r"[^\p{L}\p{M}0-9]+", " "))
+    return F.trim(F.regexp_replace(_unmarked(), r"[^a-z0-9\p{L}\p{M}]+", " "))
 
 
 def _raw() -> Column:
