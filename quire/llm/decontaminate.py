@@ -121,4 +121,4 @@ def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER, broadc
 def decontaminate(docs: DataFrame, items: DataFrame, cover: float = COVER) -> DataFrame:
     """The documents that hold no benchmark item; rows without doc_id stay."""
     bad = cut(contaminated(docs, items, cover).select(F.col("doc_id").alias("bad_id")).where("bad_id is not null").distinct())
-    return docs.join(bad, docs.doc_id == F.col("bad_id"), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["bad_id"], "left_anti")

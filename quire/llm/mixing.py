@@ -99,4 +99,6 @@ def mixed_documents(docs: DataFrame, block_words: int = 32) -> DataFrame:
     plan = mix(docs, block_words).where("taken > 0").groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("whole"))
     times = cut(plan.select(F.col("doc_id").alias("mixed_id"), F.floor(F.col("taken") / F.col("whole") + 0.5).cast("int").alias("times")).where("times > 0"))
     # a row for each document kept, so it is never one to broadcast
-    return docs.join(times.hint("merge"), docs.doc_id.cast("long").eqNullSafe(F.col("mixed_id"))).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("mixed_copy")).select(docs.columns)
+    joined = docs.join(times.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(times["mixed_id"]))
+    # packed as one column, so that no column of docs can clash with the copies' numbers
+    return joined.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.explode(F.array_repeat(F.lit(0), times["times"])).alias("copy")).select("doc.*")

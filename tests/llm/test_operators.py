@@ -208,3 +208,51 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+
+
+NAMES = "row nth seg size source_size target taken fp component_id first_id root bad_id mixed_id times copy doc h i j t at n low part x score lang_pred point rank pos line chunk bucket kept shard ids start item_id quality vec_id centroid list block".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(odd):
+    return odd.select("*", *(F.lit(1).alias(n) for n in NAMES if n not in odd.columns))
+
+
+TABLE_OPS = {
+    "decontaminate": lambda s, d: decontaminate.contaminated(d, s.read.parquet(f"{DATA}/benchmark.parquet")),
+    "simhash": lambda s, d: simhash.near_duplicates(d),
+    "suffix": lambda s, d: suffix.remove_repeats(d, True),
+    "sstable": lambda s, d: sstable.token_table(d, queries.tokenizer_path()),
+    "language": lambda s, d: language.identify(d, language.learn(d)),
+    "quality": lambda s, d: quality_pu.quality_scores(d, s.read.parquet(f"{DATA}/labels.parquet")),
+    "mixing": lambda s, d: mixing.mix(d),
+    "licenses": lambda s, d: licenses.scan(d),
+    "lines": lambda s, d: lines.remove_repeated_lines(d),
+}
+
+
+@pytest.mark.parametrize("name", TABLE_OPS)
+def test_clashing_and_empty(spark, odd, clashing, name):
+    """Columns of other names change nothing, an empty table gives no row."""
+    op = TABLE_OPS[name]
+    plain, extra = (sorted(map(str, op(spark, d).collect())) for d in (odd, clashing))
+    assert plain == extra
+    assert op(spark, clashing.where("false")).count() == 0
+
+
+def test_nearest_clashing_and_empty(spark):
+    x = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    wide = x.select("*", *(F.lit(1).alias(n) for n in NAMES if n not in x.columns))
+    assert sorted(map(str, ann.nearest(x).collect())) == sorted(map(str, ann.nearest(wide).collect()))
+    assert ann.nearest(wide.where("false")).count() == 0
+
+
+def test_pipeline_stages_on_awkward_rows(spark, clashing):
+    import corpus_pipeline
+
+    for docs in (clashing, clashing.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, DATA)
+            assert name == corpus_pipeline.STAGES[-1][0] or got.columns == docs.columns
+            rows = got.collect()
+            assert bool(rows) or docs is not clashing or name == corpus_pipeline.STAGES[0][0]
