@@ -14,8 +14,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.7 or more. Rows that share a doc_id are judged
     by the best of them; rows without doc_id stay."""
     labels = table(spark, sf_dir, "labels").where(crc32_of_id() % 4 != 2)
-    bad = quality_pu.quality_scores(docs, labels).groupBy(F.col("doc_id").alias("bad_id")).agg(F.max("score").alias("score")).where("score < 0.7")
-    return docs.join(cut(bad.select("bad_id")), docs.doc_id.cast("long") == F.col("bad_id"), "left_anti")
+    low = quality_pu.quality_scores(docs, labels).groupBy(F.col("doc_id").alias("bad_id")).agg(F.max("score").alias("score")).where("score < 0.7")
+    bad = cut(low.select("bad_id"))
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["bad_id"], "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
