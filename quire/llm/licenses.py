@@ -2,10 +2,11 @@
 
 Texts become lower-case words and numbers, and windows of them share five-word shingles with
 license templates. For each template length class (8, 16, 32, ... words) windows of twice that
-length start every such length, so any notice lies whole in a window. A window with a notice has a
-Jaccard similarity of over 0.15 with its template; ``BANDS`` bands of one MinHash value each then
-collide with a probability of 1 - 0.85**64, over 0.9999. Candidates are verified by the exact share
-of the template's shingles that the window holds, 0.8 or more.
+length start every such length, so any notice lies whole in a window. ``BANDS`` bands of one MinHash
+value each find a window of Jaccard similarity J with a probability of 1 - (1 - J)**64. Templates
+whose least similar match reaches ``SURE`` so are sought by bands; every window that holds a shingle
+of another, such as one of a single shingle, is a candidate. Candidates are verified by the exact
+share of the template's shingles that the window holds, 0.8 or more.
 
 Windows without any shingle of a template can't match and take no further part: one pass joins all
 shingles with the broadcast shingles of the templates (a parameter of the scan, of fixed size), and
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .decontaminate import FIVE
 
-SHINGLE, COVER, BANDS = 5, 0.8, 64
+SHINGLE, COVER, BANDS, SURE = 5, 0.8, 64, 0.9999
 #: Common notices, abridged where long. Fixed values.
 TEMPLATES = {
     "MIT": "Released under the MIT License",
@@ -59,6 +60,12 @@ def _minhash(sh: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda s: F.struct(s.alias("band"), F.array_min(F.transform(sh, lambda x: F.xxhash64(x, s))).alias("least")))
 
 
+def _banded(size: int, shingles: int, cover: float) -> bool:
+    """Whether bands find a full window with the least share of the template that counts."""
+    held = min(max(math.ceil(cover * shingles - 1e-9), 1), shingles)
+    return 1 - (1 - held / (2 * size + shingles - held)) ** BANDS >= SURE
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float = COVER) -> DataFrame:
     """``(doc_id, license_id, n_windows, containment)`` for documents and the licenses they name;
     n_windows: windows that match."""
@@ -78,8 +85,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float
     near = near.select("doc_id", "class", F.explode(F.array(at, at - 1)).alias("window")).where("window >= 0").distinct()
     wide = cut(near.join(own, F.expr("doc_id <=> d")).select("doc_id", "class", "window", F.slice("h", F.col("window") * F.col("class") + 1, 2 * F.col("class")).alias("sh")))
     banded = wide.select("doc_id", "class", "window", F.explode(_minhash(F.col("sh"))).alias("m")).select("doc_id", "class", "window", "m.*")
-    sought = cut(known.select("license_id", "class", F.explode(_minhash(F.col("th"))).alias("m")).select("license_id", "class", "m.*"))
-    found = cut(banded.join(F.broadcast(sought), ["class", "band", "least"]).select("doc_id", "class", "window", "license_id").distinct())
+    weak = [k for k, h in lists if not _banded(size(h), len(h), cover)]
+    sought = cut(known.where(~F.col("license_id").isin(weak)).select("license_id", "class", F.explode(_minhash(F.col("th"))).alias("m")).select("license_id", "class", "m.*"))
+    by_bands = banded.join(F.broadcast(sought), ["class", "band", "least"]).select("doc_id", "class", "window", "license_id")
+    direct = wide.join(F.broadcast(known.where(F.col("license_id").isin(weak))), "class").where(F.arrays_overlap("th", "sh"))
+    found = cut(by_bands.unionAll(direct.select("doc_id", "class", "window", "license_id")).distinct())
     same = wide.doc_id.eqNullSafe(found.doc_id) & (wide["class"] == found["class"]) & (wide.window == found.window)
     pairs = wide.join(found, same).select(wide.doc_id, "license_id", "sh").join(F.broadcast(known.select("license_id", "th")), "license_id")
     held = pairs.select("doc_id", "license_id", (F.size(F.array_intersect("th", "sh")) / F.size("th")).alias("containment")).where(F.col("containment") >= cover)

@@ -176,6 +176,14 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == 0
 
 
+def test_licenses_of_one_shingle(spark):
+    """An exact MIT line within a text is found wherever it stands."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    docs = spark.createDataFrame([(i, f"{words(20 + i % 16)} Released under the MIT License {words(60)}") for i in range(400)], "doc_id long, text string")
+    assert {r.doc_id for r in licenses.scan(docs).collect() if r.license_id == "MIT"} == set(range(400))
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 16)).astype(np.float32)
