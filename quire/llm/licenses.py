@@ -6,19 +6,21 @@ length start every such length, so any notice lies whole in a window. ``BANDS``
 value each find a window of Jaccard similarity J with a probability of 1 - (1 - J)**64. Templates
 whose least similar match reaches ``SURE`` so are sought by bands; every window that holds a shingle
 of another, such as one of a single shingle, is a candidate. Candidates are verified by the exact
-share of the template's shingles that the window holds, 0.8 or more.
+share of the template's shingles that the window holds, 0.8 or more. A template of fewer than five
+words is one shingle, sought among the runs of as many words of the texts that contain it.
 
 Windows without any shingle of a template can't match and take no further part: one pass joins all
 shingles with the broadcast shingles of the templates (a parameter of the scan, of fixed size), and
 only the documents and windows around hits are read again.
 
-Defined results: null and empty texts match nothing; templates of fewer than five words are one
-shingle. Rows that repeat a doc_id are judged together; extra columns are ignored.
+Defined results: null and empty texts match nothing. Rows that repeat a doc_id are judged together; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "All-rights-short": "All rights reserved",
     "All-rights": "All rights reserved. No part of this publication may be reproduced, stored or transmitted in any form",
 }
 
@@ -71,18 +74,30 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float
     n_windows: windows that match."""
     spark = docs.sparkSession
     given = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license_id string, text string")
-    lists = [(r.license_id, sorted(set(r.h))) for r in _hashed(given, "license_id").collect()]  # a parameter, of fixed size
+    cut_up, h = _cut_up(given, "license_id")
+    read = cut_up.select("license_id", "t", F.transform(h, lambda x: F.xxhash64(x)).alias("h")).collect()  # a parameter, of fixed size
+    words = lambda r: len(r.t.split(" "))
+    lists = [(r.license_id, sorted(set(r.h))) for r in read if r.h and words(r) >= SHINGLE]
+    short = [(r.license_id, words(r), r.t, r.h[0]) for r in read if r.h and words(r) < SHINGLE]
     size = lambda h: 1 << max(3, math.ceil(math.log2(len(h) + SHINGLE - 1)))
     known = cut(spark.createDataFrame([(k, size(h), h) for k, h in lists], "license_id string, class int, th array<bigint>"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     r, shingles = _cut_up(text, "doc_id")
-    each = r.select("doc_id", F.posexplode(shingles).alias("i", "s")).select("doc_id", "i", F.xxhash64("s").alias("s"))
-    hits = cut(each.join(F.broadcast(known.select(F.explode("th").alias("s")).distinct()), "s").select("doc_id", "i").distinct())
+    runs = [shingles]
+    for n in sorted({n for _, n, _, _ in short}):
+        holds = reduce(or_, (F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.lit(f" {t} ")) for _, m, t, _ in short if m == n))
+        runs.append(F.when(holds, F.expr(rf"regexp_extract_all(t, '(?=([^ ]++(?: [^ ]++){{{n - 1}}}+))[^ ]++', 1)")))
+    each = r.select("doc_id", F.explode(F.array_compact(F.array(*runs))).alias("run")).select("doc_id", F.posexplode("run").alias("i", "s")).select("doc_id", "i", F.xxhash64("s").alias("s"))
+    brief = spark.createDataFrame([(k, h) for k, _, _, h in short], "license_id string, s bigint")
+    sought = known.select(F.lit(None).cast("string").alias("license_id"), F.explode("th").alias("s")).distinct().unionAll(brief)
+    all_hits = cut(each.join(F.broadcast(sought), "s").select("doc_id", "license_id", "i").distinct())
+    hits = all_hits.where("license_id is null").select("doc_id", "i")
     ids = cut(hits.select(F.col("doc_id").alias("d")).distinct())
     own = _hashed(text.join(ids, F.expr("doc_id <=> d"), "left_semi"), "doc_id").withColumnRenamed("doc_id", "d")
-    near = hits.select("doc_id", "i", F.explode(F.array(*[F.lit(c) for c in sorted({size(h) for _, h in lists})])).alias("class"))
+    near = hits.select("doc_id", "i", F.explode(F.array(*[F.lit(c) for c in sorted({size(h) for _, h in lists} | {size([])})])).alias("class"))
     at = F.floor(F.col("i") / F.col("class")).cast("int")
-    near = near.select("doc_id", "class", F.explode(F.array(at, at - 1)).alias("window")).where("window >= 0").distinct()
+    windows = F.explode(F.array(at, at - 1)).alias("window")
+    near = near.select("doc_id", "class", windows).where("window >= 0").distinct()
     wide = cut(near.join(own, F.expr("doc_id <=> d")).select("doc_id", "class", "window", F.slice("h", F.col("window") * F.col("class") + 1, 2 * F.col("class")).alias("sh")))
     banded = wide.select("doc_id", "class", "window", F.explode(_minhash(F.col("sh"))).alias("m")).select("doc_id", "class", "window", "m.*")
     weak = [k for k, h in lists if not _banded(size(h), len(h), cover)]
@@ -93,4 +108,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float
     same = wide.doc_id.eqNullSafe(found.doc_id) & (wide["class"] == found["class"]) & (wide.window == found.window)
     pairs = wide.join(found, same).select(wide.doc_id, "license_id", "sh").join(F.broadcast(known.select("license_id", "th")), "license_id")
     held = pairs.select("doc_id", "license_id", (F.size(F.array_intersect("th", "sh")) / F.size("th")).alias("containment")).where(F.col("containment") >= cover)
+    whole = all_hits.where("license_id is not null").withColumn("class", F.lit(size([]))).select("doc_id", "license_id", windows, F.lit(1.0).alias("containment"))
+    held = held.unionAll(whole.where("window >= 0").distinct().drop("window"))
     return held.groupBy("doc_id", "license_id").agg(F.count("*").alias("n_windows"), F.max("containment").alias("containment"))

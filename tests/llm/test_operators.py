@@ -184,6 +184,15 @@ def test_licenses_of_one_shingle(spark):
     assert {r.doc_id for r in licenses.scan(docs).collect() if r.license_id == "MIT"} == set(range(400))
 
 
+def test_licenses_of_few_words(spark):
+    """A template of fewer than five words is found within, at the end of, and as a text."""
+    texts = ["Some words before it.\nAll rights reserved.\nAnd words after it " * 2, "All rights, reserved", "x All rights reserved", "nothing of the sort is said here by anyone", "rights reserved all over the place, reserved"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.license_id) for r in licenses.scan(docs).collect()} == {(i, "All-rights-short") for i in range(3)}
+    got = licenses.scan(docs, {"a": "nothing", "b": "x all", "c": "Over the place."}).collect()
+    assert sorted((r.doc_id, r.license_id, r.n_windows, r.containment) for r in got) == [(2, "b", 1, 1.0), (3, "a", 1, 1.0), (4, "c", 1, 1.0)]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 16)).astype(np.float32)
