@@ -2,20 +2,24 @@
 
 Texts become lower-case words and numbers. Numbers, names (capitalised words within a sentence) and
 units (after a number) become typed placeholders. Windows of five tokens are hashed and joined with
-those of the benchmark items, in three forms: with numbers and units as placeholders; with names
-too; and word by word. (A capital may be an accident of where a passage was pasted, so names also
-count as plain words.) A window of more than three placeholders says too little as a template and only
-counts word by word.
+those of the benchmark items, in four forms: with numbers and units as placeholders; with names
+too; with every capitalised word as a name, also one that starts a text, line, quotation or
+sentence; and word by word. (A capital may be an accident of where a passage was pasted, so names
+also count as plain words.) A window of an item that holds fewer than two plain words goes on until it
+holds two, back from the item's end if need be, or is the whole item; documents are also cut at
+these lengths, and at those of items of fewer than five tokens. An item of placeholders alone
+counts word by word only, as it would equal any such run of numbers.
 
 A match is a pair of equal windows, and all pairs at one distance between document and item form an
 alignment. An alignment's slots are consistent if each filler of the item always meets the same
 filler of the document and the other way round, so a question asked with other numbers or names
-still counts, while accidental matches don't. Windows without a placeholder are equal as they are.
+still counts, while accidental matches don't. That is judged with every capitalised word as a name
+and, apart from that, without. Windows without a placeholder are equal as they are.
 A document is contaminated by an item if 0.8 or more of the item's windows are matched.
 
 Benchmark windows are broadcast up to ``broadcast_rows`` of them and shuffled beyond.
 
-Defined results: null and empty texts match nothing; a text of fewer than five tokens is one window
+Defined results: null and empty texts match nothing; an item of fewer than five tokens is one window
 of all of them. Rows that repeat a doc_id are judged together. Extra columns are ignored; an empty
 table on either side gives an empty result.
 """
@@ -27,14 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-WINDOW, COVER, MOST_SLOTS = 5, 0.8, 3
+WINDOW, COVER, LEAST_WORDS = 5, 0.8, 2
 #: Words for units that follow a number. Fixed values.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg ton tons pound pounds ounce ounces l ml liter liters "
     "litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
     "percent dollar dollars cent cents euro euros degree degrees meter meters metre metres gram grams kilometers kilometres kilograms"
 ).split()
-NAME = ""
+NAME, LEAD = "", ""
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 FIVE = r"(?=([^ ]++(?: [^ ]++){4}+))[^ ]++"
 
@@ -44,16 +48,18 @@ def _forms(rows: DataFrame, key: str) -> DataFrame:
     plain = F.replace(F.replace(F.col("text"), F.lit("#"), F.lit(" ")), F.lit(NAME), F.lit(" "))
     # patterns start with what fails soonest; a-z is within \p{L} but tested as one bit
     marked = F.regexp_replace(plain, r"\p{Lu}(?<=[a-z\p{L}\p{N},;] \p{Lu})\p{Ll}+", NAME + "$0")
+    marked = F.regexp_replace(marked, rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}{NAME}]\p{{Lu}})\p{{Ll}}+", LEAD + "$0")
     r = rows.select(key, F.lower(marked).alias("low"))
-    return r.select(key, "low", F.contains("low", F.lit(NAME)).alias("names"), F.rlike("low", F.lit("[0-9]")).alias("numbers"))
+    return r.select(key, "low", F.contains("low", F.lit(NAME)).alias("names"), F.contains("low", F.lit(LEAD)).alias("leads"), F.rlike("low", F.lit("[0-9]")).alias("numbers"))
 
 
 def _unmarked() -> Column:
-    return F.replace(F.col("low"), F.lit(NAME), F.lit(""))
+    return F.replace(F.replace(F.col("low"), F.lit(NAME), F.lit("")), F.lit(LEAD), F.lit(""))
 
 
-def _canonical(names: bool) -> Column:
-    t = F.regexp_replace("low", rf"{NAME}\p{{L}}+", " #name ") if names else _unmarked()
+def _canonical(form: int) -> Column:
+    """Form 0 keeps names as words, form 1 marks those within a sentence, form 3 every capitalised word."""
+    t = _unmarked() if form == 0 else F.regexp_replace("low", rf"[{NAME}{LEAD}][\p{{L}}\p{{M}}]+", " #name ") if form == 3 else F.regexp_replace(F.replace("low", F.lit(LEAD), F.lit("")), rf"{NAME}\p{{L}}+", " #name ")
     t = F.when(F.col("numbers"), F.regexp_replace(F.regexp_replace(t, NUMBER, " #number "), rf"#number +(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", "#number #unit")).otherwise(t)
     return F.trim(F.regexp_replace(t, r"[^#a-z\p{L}\p{M}]+", " "))
 
@@ -64,32 +70,44 @@ def _literal() -> Column:
 
 def _raw() -> Column:
     """Tokens as they were, one for each token of a canonical form."""
-    return F.expr(rf"regexp_extract_all(replace(low, '{NAME}', ''), '[\\p{{L}}\\p{{M}}]+|{NUMBER}', 0)")
+    return F.expr(rf"regexp_extract_all(replace(replace(low, '{NAME}', ''), '{LEAD}', ''), '[\\p{{L}}\\p{{M}}]+|{NUMBER}', 0)")
 
 
-def _all_windows(rows: DataFrame, key: str) -> DataFrame:
-    """``(key, form, i, h)`` in every form that differs from the ones before it; a text of fewer
-    tokens than a window is one window."""
-    r = _forms(rows, key)
+def _texts(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, form, t)``: the text in every form that differs from the ones before it."""
     form = lambda n, t: F.struct(F.lit(n).alias("form"), t.alias("t"))
-    forms = F.array_compact(F.array(form(0, _canonical(False)), F.when(F.col("names"), form(1, _canonical(True))), F.when(F.col("numbers"), form(2, _literal()))))
-    r = r.select(key, F.explode(forms).alias("f")).select(key, "f.form", "f.t")
-    r = r.select(key, "form", "t", F.expr(f"regexp_extract_all(t, '{FIVE}', 1)").alias("five"))
-    w = F.when(F.size("five") > 0, F.col("five")).when(F.length("t") > 0, F.array("t"))
-    return r.select(key, "form", F.posexplode(w).alias("i", "w")).select(key, "form", "i", F.xxhash64("w").alias("h"))
+    forms = F.array(form(0, _canonical(0)), F.when(F.col("names"), form(1, _canonical(1))), F.when(F.col("numbers"), form(2, _literal())))
+    return _forms(rows, key).select(key, F.explode(F.array_compact(forms)).alias("f")).select(key, "f.form", "f.t")
+
+
+def _all_windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """``(key, form, i, h)``: the windows of ``lengths`` tokens. Only templates with windows that are
+    mostly placeholders are longer than ``WINDOW``."""
+    cut_up = lambda n: F.expr(rf"regexp_extract_all(t, '(?=([^ ]++(?: [^ ]++){{{n - 1}}}+))[^ ]++', 1)")
+    dense = F.rlike("t", F.lit(r"#[a-z]+ #[a-z]+ (?:#|[^ ]+ #[a-z]+ #)"))
+    runs = F.array_compact(F.array(*[cut_up(n) if n <= WINDOW else F.when(dense, cut_up(n)) for n in lengths]))
+    r = _texts(rows, key).select(key, "form", F.explode(runs).alias("run"))
+    return r.select(key, "form", F.posexplode("run").alias("i", "w")).select(key, "form", "i", F.xxhash64("w").alias("h"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """``(item_id, j, h, at, filled)``: at and filled are the places and fillers of placeholders."""
+    """``(item_id, j, a, n, wide, h, at, filled)``: window j starts at token a and has n; at and filled are
+    the places and fillers of its placeholders; wide: every capitalised word counts as a name."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    plain = _all_windows(rows, "item_id")
-    f = _forms(rows, "item_id").select("item_id", _raw().alias("raw"), F.split(_canonical(False), " ").alias("c0"), F.split(_canonical(True), " ").alias("c1"))
-    w = plain.join(f, "item_id")
-    canon = F.slice(F.when(F.col("form") == 0, F.col("c0")).otherwise(F.col("c1")), F.col("i") + 1, WINDOW)
-    at = F.when(F.col("form") == 2, F.array().cast("array<int>")).otherwise(F.filter(F.transform(canon, lambda c, k: F.when(F.startswith(c, F.lit("#")), k)), lambda k: k.isNotNull()))
-    w = w.select("item_id", F.col("i").alias("j"), "h", at.alias("at"), "raw")
-    w = w.where(F.size("at") <= MOST_SLOTS)
-    return w.select("item_id", "j", "h", "at", F.transform("at", lambda k: F.get("raw", F.col("j") + k)).alias("filled")).distinct()
+    r = _texts(rows, "item_id").where("t <> ''").select("item_id", "form", F.split("t", " ").alias("c"))
+    r = r.join(_forms(rows, "item_id").select("item_id", _raw().alias("raw")), "item_id")
+    r = r.withColumn("size", F.size("c")).withColumn("words", F.filter(F.transform("c", lambda c, k: F.when((F.col("form") == 2) | ~F.startswith(c, F.lit("#")), k)), lambda k: k.isNotNull()))
+    r = r.where(F.size("words") > 0)  # placeholders alone are any such run of numbers: only word by word
+    r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - WINDOW, F.lit(0)))))
+    last = F.get(F.filter("words", lambda k: k >= F.col("j")), F.lit(LEAST_WORDS - 1))
+    back = F.coalesce(F.get("words", F.size("words") - LEAST_WORDS), F.lit(0))
+    r = r.withColumn("last", last).withColumn("a", F.when(F.col("last").isNull(), F.least("j", back)).otherwise(F.col("j")))
+    r = r.withColumn("n", F.when(F.col("last").isNull(), F.col("size")).otherwise(F.greatest(F.least(F.col("j") + WINDOW, "size"), F.col("last") + 1)) - F.col("a"))
+    r = r.withColumn("canon", F.slice("c", F.col("a") + 1, F.col("n")))
+    at = F.when(F.col("form") == 2, F.array().cast("array<int>")).otherwise(F.filter(F.transform("canon", lambda c, k: F.when(F.startswith(c, F.lit("#")), k)), lambda k: k.isNotNull()))
+    r = r.select("item_id", "j", "a", "n", (F.col("form") == 3).alias("wide"), F.xxhash64(F.array_join("canon", " ")).alias("h"), at.alias("at"), "raw")
+    r = r.where("n <= 5 and size(at) <= 3")
+    return r.select("item_id", "j", "a", "n", "wide", "h", "at", F.transform("at", lambda k: F.get("raw", F.col("a") + k)).alias("filled")).distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER, broadcast_rows: int = 500_000) -> DataFrame:
@@ -102,17 +120,20 @@ def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER, broadc
     small = asked.count() <= broadcast_rows
     side = lambda x: F.broadcast(x) if small else x
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hits = cut(_all_windows(text, "doc_id").join(side(asked), "h").select("doc_id", "item_id", "i", "j", "at", "filled").distinct())
+    lengths = sorted({r.n for r in asked.select("n").distinct().collect()})
+    met = (F.col("wide") | (F.col("form") == 3)).alias("wide")
+    hits = _all_windows(text, "doc_id", lengths or [WINDOW]).join(side(asked), "h").select("doc_id", "item_id", "i", "j", "a", "at", "filled", met)
+    hits = cut(hits.groupBy("doc_id", "item_id", "i", "j", "a", "at", "filled").agg(F.min("wide").alias("wide")))
     plain = hits.where(F.size("at") == 0).select("doc_id", "item_id", "j", F.lit(0).alias("n_slots"))
     slotted = hits.where(F.size("at") > 0)
     those = cut(slotted.select(F.col("doc_id").alias("d")).distinct())
     raw = _forms(text.join(those, F.expr("doc_id <=> d"), "left_semi"), "doc_id").select(F.col("doc_id").alias("d"), _raw().alias("raw"))
-    met = slotted.join(raw, F.expr("doc_id <=> d")).select("doc_id", "item_id", "j", (F.col("i") - F.col("j")).alias("apart"), F.arrays_zip("filled", F.transform("at", lambda k: F.get("raw", F.col("i") + k)).alias("met")).alias("slots"))
-    met = cut(met)
-    one = met.select("doc_id", "item_id", "apart", F.explode("slots").alias("s")).groupBy("doc_id", "item_id", "apart")
+    met = slotted.join(raw, F.expr("doc_id <=> d")).select("doc_id", "item_id", "j", (F.col("i") - F.col("a")).alias("apart"), "wide", F.arrays_zip("filled", F.transform("at", lambda k: F.get("raw", F.col("i") + k)).alias("met")).alias("slots"))
+    met = cut(met.withColumn("all_names", F.explode(F.when(F.col("wide"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True))))).drop("wide"))
+    one = met.select("doc_id", "item_id", "apart", "all_names", F.explode("slots").alias("s")).groupBy("doc_id", "item_id", "apart", "all_names")
     fits = one.agg(*(F.size(F.collect_set(c)).alias(n) for c, n in (("s", "n"), ("s.filled", "n_slots"), ("s.met", "n_met")))).where("n = n_slots and n = n_met")
-    fits = cut(fits.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"), F.col("apart").alias("a"), "n_slots"))
-    fine = met.join(fits, F.expr("doc_id <=> d and item_id = t and apart = a")).select("doc_id", "item_id", "j", "n_slots")
+    fits = cut(fits.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"), F.col("apart").alias("a"), F.col("all_names").alias("every"), "n_slots"))
+    fine = met.join(fits, F.expr("doc_id <=> d and item_id = t and apart = a and all_names = every")).select("doc_id", "item_id", "j", "n_slots")
     found = plain.unionAll(fine).groupBy("doc_id", "item_id").agg(F.size(F.collect_set("j")).cast("long").alias("n_matched"), F.max("n_slots").cast("long").alias("n_slots"))
     out = found.join(side(sizes), "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     return out.where(F.col("coverage") >= cover).select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "n_slots")

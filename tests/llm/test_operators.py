@@ -145,6 +145,18 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs.where("false"), items).count() == 0
 
 
+def leaks(spark, item, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert all(r.n_matched <= r.n_windows for r in found)
+    return sorted(r.doc_id for r in found)
+
+
+def test_decontaminate_short_items(spark):
+    """An item of fewer than five tokens is found within a longer text."""
+    assert leaks(spark, "Solve 3x = 12", "Now please solve 3x = 12 and go on with the rest", "Solve 5x = 20", "please solve it for x in 12 steps or so") == [0, 1]
+
+
 def test_decontaminate_finds_whole_passages(spark):
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     want = {(r.doc_id, i) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() for i, t in bench.items() if t in r.text}
