@@ -106,7 +106,6 @@ def item_windows(items: DataFrame) -> DataFrame:
     r = r.withColumn("canon", F.slice("c", F.col("a") + 1, F.col("n")))
     at = F.when(F.col("form") == 2, F.array().cast("array<int>")).otherwise(F.filter(F.transform("canon", lambda c, k: F.when(F.startswith(c, F.lit("#")), k)), lambda k: k.isNotNull()))
     r = r.select("item_id", "j", "a", "n", (F.col("form") == 3).alias("wide"), F.xxhash64(F.array_join("canon", " ")).alias("h"), at.alias("at"), "raw")
-    r = r.where("n <= 5 and size(at) <= 3")
     return r.select("item_id", "j", "a", "n", "wide", "h", "at", F.transform("at", lambda k: F.get("raw", F.col("a") + k)).alias("filled")).distinct()
 
 

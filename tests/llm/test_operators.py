@@ -157,6 +157,14 @@ def test_decontaminate_short_items(spark):
     assert leaks(spark, "Solve 3x = 12", "Now please solve 3x = 12 and go on with the rest", "Solve 5x = 20", "please solve it for x in 12 steps or so") == [0, 1]
 
 
+def test_decontaminate_dense_templates(spark):
+    """Windows that are mostly placeholders match as templates."""
+    texts = "First compute 99 + 8 * 6 - 5 and then rest for a while", "compute 12 + 7 * 3 - 4", "there are 12 and 7 and 3 or 4 of these"
+    assert leaks(spark, "Compute 12 + 7 * 3 - 4", *texts) == [0, 1]
+    texts = "x y z runs 45 km in 7 hours, 9 km in 2 hours, 8 km in 4 hours in total then", "runs 45 km in 7 hours, 9 km in 2 hours"
+    assert leaks(spark, "runs 12 km in 3 hours, 5 km in 1 hours, 6 km in 2 hours in total", *texts) == [0]
+
+
 def test_decontaminate_finds_whole_passages(spark):
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     want = {(r.doc_id, i) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() for i, t in bench.items() if t in r.text}
