@@ -76,7 +76,7 @@ def _raw() -> Column:
 def _texts(rows: DataFrame, key: str) -> DataFrame:
     """``(key, form, t)``: the text in every form that differs from the ones before it."""
     form = lambda n, t: F.struct(F.lit(n).alias("form"), t.alias("t"))
-    forms = F.array(form(0, _canonical(0)), F.when(F.col("names"), form(1, _canonical(1))), F.when(F.col("numbers"), form(2, _literal())))
+    forms = F.array(form(0, _canonical(0)), F.when(F.col("names"), form(1, _canonical(1))), F.when(F.col("numbers"), form(2, _literal())), F.when(F.col("leads"), form(3, _canonical(3))))
     return _forms(rows, key).select(key, F.explode(F.array_compact(forms)).alias("f")).select(key, "f.form", "f.t")
 
 

@@ -165,6 +165,13 @@ def test_decontaminate_dense_templates(spark):
     assert leaks(spark, "runs 12 km in 3 hours, 5 km in 1 hours, 6 km in 2 hours in total", *texts) == [0]
 
 
+def test_decontaminate_leading_names(spark):
+    """Names that start a sentence are placeholders too, if they are exchanged consistently."""
+    text = "{a} has 12 apples. {a} gives 5 apples to {b}. How many apples does {c} have now"
+    texts = text.format(a="Peter", b="Maria", c="Peter"), "So " + text.format(a="Anna", b="Tom", c="Anna"), text.format(a="Peter", b="Maria", c="Ruth"), "Peter has gone. How many apples are left now"
+    assert leaks(spark, text.format(a="Anna", b="Tom", c="Anna"), *texts) == [0, 1]
+
+
 def test_decontaminate_finds_whole_passages(spark):
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     want = {(r.doc_id, i) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() for i, t in bench.items() if t in r.text}
