@@ -9,7 +9,8 @@ that it is unlikely to beat the query's 20th best. Every query first scans the l
 which gives that bound for the rest. Survivors are scored exactly on the original vectors.
 
 How many lists are probed is calibrated on the sample: the fewest that hold ``recall`` of the true
-neighbours there. Each block is searched whole; there is no cap on candidates.
+neighbours there. A query whose lists hold fewer than k other vectors goes on until they do; empty
+lists are no probes. Each block is searched whole; there is no cap on candidates.
 
 Defined results: null, empty and zero vectors, those with a null or non-finite component, and those
 whose length isn't the most frequent one take no part. Of rows that repeat a vec_id the smallest
@@ -67,8 +68,12 @@ class Index:
     def lists_of(self, x: np.ndarray) -> np.ndarray:
         return self._near(self.raise_(x)).argmin(axis=1)
 
-    def probed(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(self._near(self.lower(q)), axis=1, kind="stable")[:, : self.probes]
+    def probed(self, q: np.ndarray, counts: np.ndarray, k: int) -> list[list[int]]:
+        """Lists in order of nearness; counts: vectors of each list, of which one may be the query."""
+        near = np.where(counts > 0, self._near(self.lower(q)), np.inf)
+        order = np.argsort(near, axis=1, kind="stable")[:, : np.count_nonzero(counts)]
+        short = (np.cumsum(counts[order], axis=1) < k + 1).sum(axis=1) + 1
+        return [o[: max(self.probes, n)].tolist() for o, n in zip(order, short)]
 
 
 def scan(index: Index, q: np.ndarray, bound: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +153,7 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20,
         return rows.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "0.0D as score").where("false")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
     index = Index(np.stack(sample.to_numpy()), float(np.sqrt(top.m)), top.n, k, recall)
-    dim, probes = index.dim, index.probes
+    dim = index.dim
 
     def matrix(b: pa.RecordBatch) -> np.ndarray:
         return b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -163,10 +168,13 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20,
         for b in batches:
             if b.num_rows:
                 q = matrix(b)
-                yield pa.RecordBatch.from_pydict({"query_id": b.column(0), "q": pa.array([r.tobytes() for r in q], pa.binary()), "lists": pa.array(index.probed(q).tolist(), pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"query_id": b.column(0), "q": pa.array([r.tobytes() for r in q], pa.binary()), "lists": pa.array(index.probed(q, counts, k), pa.list_(pa.int64()))})
 
     held = cut(rows.mapInArrow(file, "list long, vec_id long, v binary"))
     size = max(256, top.n // len(index.centroids))
+    counts = np.zeros(len(index.centroids), np.int64)
+    for r in held.groupBy("list").count().collect():  # a row for each centroid, 4096 at most
+        counts[r["list"]] = r["count"]
     blocks = held.groupBy("list").agg(F.ceil(F.count("*") / size).cast("long").alias("blocks"))
     blocks = F.broadcast(cut(blocks))  # a row for each centroid, 4096 at most
     filed = held.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
@@ -182,6 +190,6 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20,
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     start = cut(found(F.slice("lists", 1, 1), None))
     bound = start.withColumn("nth", nth).where(F.col("nth") == k).select("query_id", (F.col("score") - 1e-12).alias("bound"))
-    rest = found(F.slice("lists", 2, max(probes - 1, 1)), cut(bound)) if probes > 1 else start.where("false")
+    rest = found(F.slice("lists", 2, len(index.centroids)), cut(bound))
     ranked = start.unionByName(rest).withColumn("rank", nth).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -239,6 +239,14 @@ def test_nearest(spark):
     assert few.count() == 2
 
 
+def test_nearest_in_small_lists(spark):
+    """Queries in lists of few vectors have k rows as well, however few lists are probed."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 8)) * np.exp(2 * rng.standard_normal((3000, 1)))
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id % 5 = 0", recall=0.0).groupBy("query_id").count().collect()
+    assert len(got) == 600 and {r["count"] for r in got} == {20}
+
+
 def test_lines(spark, odd):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "a\nb"), (4, "a\nb\nc\nd"), (5, None), (6, ""), (7, "q\nq\nq\nq\nq")]
     got = {r.doc_id: r for r in lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
