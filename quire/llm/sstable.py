@@ -19,13 +19,15 @@ Executors write shards through ``pyarrow.fs`` to the shared folder under a name
 rename when complete, so a lost or repeated task never leaves half a shard under its final name.
 
 Defined results: a null or empty text has the end id only; rows that repeat a doc_id are separate
-entries in the order of their text; extra columns are ignored; an empty table gives no shard.
+entries in the order of their text; a text longer than a block is a block of its own; extra columns
+are ignored; an empty table gives no shard.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import sys
 import types
@@ -45,6 +47,8 @@ from .common import cut, scratch_path
 MAGIC, KEY = b"QUIRESST", 13
 FOOTER, INDEX = "<QIQIQQB8s", f"<{KEY}sQII"
 BLOCK, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 10, 7
+#: Text of a shard; there are more shards if the session asks for more shuffle partitions.
+SHARD_BYTES = 256 << 20
 END_ID = 2
 
 
@@ -170,12 +174,19 @@ class Reader:
         return next((v for k, v in self._block(lo) if k == key), None) if lo < len(self.index) else None
 
 
+#: White space before a space: no cut between the two.
+SPACED = re.compile(r"[\s\u180e] ")
+CUT = re.compile(r"(?<=[^\s\u180e]) ")
+
+
 class Encoder(dict):
-    """Ids of texts by a file of the tokenizers library; as a table, the ids of pieces behind a space.
+    """Ids of texts by a file of the tokenizers library, added tokens of the file (``<|endoftext|>``)
+    recognised in texts as the library does; as a table, the ids of pieces behind a space.
 
     Byte-level pre-tokens never reach back over a space that follows a non-space, so a text splits
     there into pieces that encode on their own, and pieces repeat. The table is bounded: it is
-    emptied between texts once it is full. Texts where spaces follow each other are encoded whole.
+    emptied between texts once it is full. Texts with an added token that could reach over such a
+    cut are encoded whole.
     """
 
     def __init__(self, path: str, held: int = 600_000) -> None:
@@ -183,10 +194,13 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.of, self.held = Tokenizer.from_file(path), held
-        self.of.encode_special_tokens = True
         self.kind = "I" if self.of.get_vocab_size() > 1 << 16 else "H"
         self.id_bytes = 4 if self.kind == "I" else 2
-        self.byte_level = json.loads(self.of.to_str())["pre_tokenizer"] == BYTE_LEVEL
+        parts = json.loads(self.of.to_str())
+        self.byte_level = parts["pre_tokenizer"] == BYTE_LEVEL and parts["normalizer"] is None
+        added = parts["added_tokens"]
+        self.wide = [t["content"] for t in added if " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"]]
+        self.letters = [t["content"].strip(",.") for t in added if t["content"].strip(",.").isalpha()]
         self.stops = {c: self.whole(c) for c in (",", ".")}
 
     def pack(self, ids: list[int]) -> bytes:
@@ -199,7 +213,7 @@ class Encoder(dict):
         stop = self.stops.get(piece[-1:], b"")
         word = piece[:-1] if stop else piece
         # a space and Latin letters are one pre-token, a stop behind them another
-        if not self.byte_level or not word.isalpha() or max(word) >= "\u0250":
+        if not word.isalpha() or max(word) >= "\u0250" or any(t in word for t in self.letters):
             ids = self.whole(" " + piece)
         elif stop:
             ids = self[word] + stop
@@ -213,9 +227,9 @@ class Encoder(dict):
         """Ids of a text with ``end`` behind them."""
         if not text:
             return end
-        if "  " in text or not self.byte_level:
+        if not self.byte_level or any(t in text for t in self.wide):
             return self.whole(text) + end
-        first, *pieces = text.split(" ")
+        first, *pieces = CUT.split(text) if SPACED.search(text) else text.split(" ")
         if len(self) > self.held:
             self.clear()
         return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, pieces)) + end
@@ -252,7 +266,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | Non
     """Encode all documents into shards under ``folder`` in ascending doc_id order; the manifest,
     one row per shard. ``tokenizer`` is the path of a tokenizers file that executors see too."""
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
@@ -279,7 +294,12 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | Non
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
-    return cut(ordered.mapInArrow(run, MANIFEST))
+    manifest = cut(ordered.mapInArrow(run, MANIFEST))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for left in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, ".[0-9]*-*")) or ():
+        fs.delete(left.getPath(), False)  # by attempts that were lost
+    return manifest
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
