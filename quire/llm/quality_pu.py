@@ -9,12 +9,14 @@ Text statistics are extracted once to a small shared table. Newton steps sum gra
 over *all* rows of it, so only a fixed-size sum reaches the driver. The prior is estimated from the
 scores of a fit on one half of the positives: the share of unlabelled text above a threshold over
 that of the other half approaches the prior where no negatives are left, and the least is taken over
-all thresholds that keep half of the positives.
+all thresholds that keep half of the positives. Where so few rows are positive that a half has none,
+the prior stays at 0.5.
 
 ``max_positives`` bounds the labelled rows used (by hash of doc_id, at most about that many).
 
-Defined results: null and empty texts have all statistics zero and a score like any other; without
-any positive every score is 0; repeated rows are scored each; extra columns are ignored.
+Defined results: null and empty texts have all statistics zero and a score like any other, very long
+ones are read whole; without any positive every score is 0; repeated rows are scored each, equal texts
+alike, and a doc_id that labels repeat counts once; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -171,12 +173,14 @@ def learn(table: DataFrame, labels: DataFrame, max_positives: int = 2_000_000, s
     v = _sums(rows, lambda x, part: np.concatenate([[len(x), (part > 0).sum()], x.sum(axis=0), (x * x).sum(axis=0)]), 2 + 2 * N_FEATURES)
     if not v[1]:
         return None
+    halves = [r.part for r in rows.where("part > 0").select("part").distinct().collect()]
     mean = v[2 : 2 + N_FEATURES] / v[0]
     spread = np.sqrt(np.maximum(v[2 + N_FEATURES :] / v[0] - mean**2, 0))
     model = Model(mean, np.where(spread > 1e-6, spread, 1.0))
-    _fit(rows, model, 6, (1,))
-    model.prior = _prior(rows, model)
-    model.w = np.zeros_like(model.w)
+    if len(halves) == 2:
+        _fit(rows, model, 6, (1,))
+        model.prior = _prior(rows, model)
+        model.w = np.zeros_like(model.w)
     _fit(rows, model, steps, (1, 2))
     return model
 

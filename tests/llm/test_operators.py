@@ -85,8 +85,7 @@ def test_sstable(spark, docs, odd):
 
     path = queries.tokenizer_path()
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    extra = spark.createDataFrame([(90, "a  b   c <|endoftext|> d\n\n e, f. Übung,"), (91, " lead"), (92, "tab\t x ")], "doc_id long, text string")
+    extra = spark.createDataFrame([(90, "a  b   c <|endoftext|> d\n\n e, f. Übung,"), (91, " lead"), (92, "tab\t x "), (93, "a <|endoftext|> b<|endoftext|>\n \n  y \r z\n "), (94, "<|endoftext|> x\u00a0 y\u180e z \u3000 end. \n a\x1c b")], "doc_id long, text string")
     for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text").unionAll(extra)):
         start = 0
         got = sstable.token_table(df, path).orderBy("start").collect()
@@ -126,6 +125,35 @@ def test_language(spark, docs, odd):
     assert language.identify(odd, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_by_brute_force(spark):
+    """Cosines of whole texts' bundles give the same languages and scores, whatever the pieces."""
+    texts = {"a": "der Hund läuft über die Straße", "b": "the dog runs over the street", "c": "собака бежит через улицу", "d": "ο σκύλος τρέχει στον δρόμο", "e": "狗跑过街道 \U00030000\U00030001"}
+    learned = language.learn(spark.createDataFrame([(t, k) for k, t in texts.items()] + [(None, "a"), ("x", None)], "text string, lang string"))
+
+    def vector(t):
+        low = "".join(c.lower()[0] if c.isalpha() else " " for c in t)
+        s = re.sub(" +", " ", f" {low} ")
+        v = np.zeros(language.DIM)
+        for i in range(len(s) - 2):
+            parts = [language.letter_vectors(np.array([0 if c == " " else ord(c)]))[0].astype(float) for c in s[i : i + 3]]
+            v += np.roll(parts[0], 2) * np.roll(parts[1], 1) * parts[2]
+        return v
+
+    assert all((learned[k] == vector(t)).all() for k, t in texts.items())
+    asked = ["die Hunde", "a dog", "улица", "δρόμος", "街道", "\U00030000", "x", "12 3", "", "Straße, streets"] + ["the street, " * 40]
+    got = [r for r in language.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), learned).orderBy("doc_id").collect()]
+    for t, r in zip(asked, got):
+        v = vector(t)
+        cos = np.array([v @ learned[k] / np.linalg.norm(learned[k]) for k in texts])
+        want = sorted(texts)[cos.argmax()] if any(c.isalpha() for c in t) else "und"
+        assert r.lang_pred == want and (want == "und" or abs(r.score - cos.max() / np.maximum(cos, 0).sum()) < 1e-3)
+    fold = language.folds()
+    for t in asked:
+        whole = np.concatenate(list(language.trigrams(t, fold)) or [np.zeros(0)])
+        for piece in (1, 2, 3, 7):
+            assert (np.concatenate(list(language.trigrams(t, fold, piece)) or [np.zeros(0)]) == whole).all()
+
+
 def test_quality(spark, docs, odd):
     out = queries.op6_quality(spark, "/root/testdata/sf0.01").toPandas().merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id")
     held = out[out.held_out]
@@ -136,6 +164,39 @@ def test_quality(spark, docs, odd):
     assert {r.score for r in quality_pu.quality_scores(odd, labels.where("false")).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("ids", [[4], [1], [4, 5, 8], [1, 2, 3, 4, 5, 7, 8, 9, 10, 11]])
+def test_quality_of_few_positives(spark, odd, ids):
+    """Whichever halves the positives fall into, every row has a score from 0 to 1."""
+    labels = spark.createDataFrame([(i, 1) for i in ids for _ in range(2)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    scores = [r.score for r in quality_pu.quality_scores(odd, labels).collect()]
+    assert len(scores) == len(AWKWARD) and all(0 <= x <= 1 for x in scores)
+
+
+def test_quality_risk(spark):
+    """The step is the Newton step of the penalised unbiased risk, taken from numbers alone."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((200, quality_pu.N_FEATURES))
+    x[:60, 0] += 2
+    part = np.where(np.arange(200) < 30, 1, 0)
+    rows = spark.createDataFrame([(r.tolist(), int(p)) for r, p in zip(x, part)], "x array<float>, part int")
+    model = quality_pu.Model(np.zeros(quality_pu.N_FEATURES), np.ones(quality_pu.N_FEATURES), 0.3)
+    quality_pu._fit(rows, model, 1, (1,))
+    a = np.column_stack([np.clip(x.astype(np.float32).astype(float), -6, 6), np.ones(200)])
+    ridge = np.append(np.full(quality_pu.N_FEATURES, 1e-3), 0)
+
+    def risk(w):
+        z = a @ w
+        neg = np.logaddexp(0, z).mean() - 0.3 * np.logaddexp(0, z[part == 1]).mean()
+        return 0.3 * np.logaddexp(0, -z[part == 1]).mean() + max(neg, 0) + (ridge * w * w).sum() / 2
+
+    zero, eps = np.zeros(a.shape[1]), 1e-5
+    grad = np.array([(risk(zero + eps * e) - risk(zero - eps * e)) / (2 * eps) for e in np.eye(len(zero))])
+    curve = a.T @ a / 4 / 200 + np.diag(ridge + 1e-6)
+    want = -np.linalg.solve(curve, grad)
+    want *= min(1, 4 / np.abs(want).max())
+    assert np.allclose(model.w, want, atol=1e-4) and risk(model.w) < risk(zero)
+
+
 def test_decontaminate(spark):
     items = spark.createDataFrame([(1, "If Anna drives 12 km in 3 hours then how far does Anna drive in 12 hours with the same speed"), (2, "a wholly different question about nothing in particular at all here"), (3, None)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Intro. If Anna drives 12 km in 3 hours then how far does Anna drive in 12 hours with the same speed. End."), (2, "Intro. If Peter drives 45 km in 7 hours then how far does Peter drive in 45 hours with the same speed"), (3, "If Peter drives 45 km in 7 hours then how far does Maria drive in 99 hours with the same speed"), (4, "clean text of no interest whatever"), (5, None), (6, "")], "doc_id long, text string")
