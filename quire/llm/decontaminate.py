@@ -2,36 +2,44 @@
 
 Texts become lower-case words and numbers. Numbers, names (capitalised words within a sentence) and
 units (after a number) become typed placeholders. Windows of five tokens are hashed and joined with
-those of the benchmark items, in four forms: with numbers and units as placeholders; with names
+those of the benchmark items, in three forms: with numbers and units as placeholders; with names
 too; with every capitalised word as a name, also one that starts a text, line, quotation or
-sentence; and word by word. (A capital may be an accident of where a passage was pasted, so names
-also count as plain words.) A window of an item that holds fewer than two plain words goes on until it
-holds two, back from the item's end if need be, or is the whole item; documents are also cut at
-these lengths, and at those of items of fewer than five tokens. An item of placeholders alone
-counts word by word only, as it would equal any such run of numbers.
+sentence. (A capital may be an accident of where a passage was pasted, so names also count as plain
+words.) A window of an item that holds fewer than two plain words goes on until it holds two, back
+from the item's end if need be, or is the whole item; documents are also cut at these lengths, and
+at those of items of fewer than five tokens. An item of placeholders alone counts word by word, as
+it would equal any such run of numbers.
 
 A match is a pair of equal windows, and all pairs at one distance between document and item form an
-alignment. An alignment's slots are consistent if each filler of the item always meets the same
-filler of the document and the other way round, so a question asked with other numbers or names
-still counts, while accidental matches don't. That is judged with every capitalised word as a name
-and, apart from that, without. Windows without a placeholder are equal as they are.
-A document is contaminated by an item if 0.8 or more of the item's windows are matched.
-
-Benchmark windows are broadcast up to ``broadcast_rows`` of them and shuffled beyond.
+alignment. Slots are checked within an alignment, where each place of the item meets one place of the
+document. Numbers and units are variables by place: a question may be asked again with any others,
+equal ones where the item has different ones and the other way round. A name is a variable in all its
+places: it stands for what most of its places meet (ties: the smallest). Where 0.8 or more of an
+alignment's places of names agree with that, only windows with another filler are no match; where
+fewer do, all its windows with names aren't. That is judged with every capitalised word as a name
+and, apart from that, without. A document is contaminated by an item if in one of the two 0.8 or
+more of the item's windows are matched.
+
+Two passes. An item that lacks no more than a fifth of its windows has one at least among any fifth
+and one more, so the first pass joins all documents with that many windows of each item, those that
+the fewest items share; the second looks at the documents found, with all windows. No template that
+many items share meets all documents. First-pass windows (an item and a hash) are broadcast up to
+``broadcast_rows`` of them, 16 bytes each, and shuffled beyond.
 
 Defined results: null and empty texts match nothing; an item of fewer than five tokens is one window
-of all of them. Rows that repeat a doc_id are judged together. Extra columns are ignored; an empty
-table on either side gives an empty result.
+of all of them. Very long texts are cut between words into pieces that overlap by more than an item.
+Rows that repeat a doc_id are judged together; of equal windows of an item each counts. Extra
+columns are ignored; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-WINDOW, COVER, LEAST_WORDS = 5, 0.8, 2
+WINDOW, COVER, LEAST_WORDS, AGREED = 5, 0.8, 2, 0.8
 #: Words for units that follow a number. Fixed values.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg ton tons pound pounds ounce ounces l ml liter liters "
@@ -41,16 +49,28 @@ UNITS = (
 NAME, LEAD = "", ""
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 FIVE = r"(?=([^ ]++(?: [^ ]++){4}+))[^ ]++"
+PIECE, OVERLAP = 1 << 16, 1 << 13
+PLAIN, NAMES, WORDS, WIDE = range(4)
+
 
+def _pieces(rows: DataFrame, key: str, size: int = PIECE, overlap: int = OVERLAP) -> DataFrame:
+    """``(key, piece, text)``: texts cut after white space where longer than ``size`` characters, each
+    piece with the beginning of the next."""
+    cut_up = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{size}}}(?!\S)|.{{1,{size}}}"), F.lit(0))
+    r = rows.select(key, F.when(F.length("text") <= size, F.array("text")).otherwise(cut_up).alias("p"))
+    more = lambda k: F.regexp_extract(F.substring(F.get("p", k + 1), 1, overlap), r"(?s)\A(.*\s|\S*\z)", 1)
+    whole = F.when(F.size("p") <= 1, F.col("p")).otherwise(F.transform("p", lambda x, k: F.concat(x, F.coalesce(more(k), F.lit("")))))
+    return r.select(key, F.posexplode(whole).alias("piece", "text"))
 
-def _forms(rows: DataFrame, key: str) -> DataFrame:
-    """``(key, low, names, numbers)``: lower-case text with its names marked, and what it has."""
-    plain = F.replace(F.replace(F.col("text"), F.lit("#"), F.lit(" ")), F.lit(NAME), F.lit(" "))
+
+def _forms(rows: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, low, names, leads, numbers)``: lower-case text with its names marked, and what it has."""
+    plain = F.replace(F.replace(F.replace(F.col("text"), F.lit("#"), F.lit(" ")), F.lit(NAME), F.lit(" ")), F.lit(LEAD), F.lit(" "))
     # patterns start with what fails soonest; a-z is within \p{L} but tested as one bit
     marked = F.regexp_replace(plain, r"\p{Lu}(?<=[a-z\p{L}\p{N},;] \p{Lu})\p{Ll}+", NAME + "$0")
     marked = F.regexp_replace(marked, rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}{NAME}]\p{{Lu}})\p{{Ll}}+", LEAD + "$0")
-    r = rows.select(key, F.lower(marked).alias("low"))
-    return r.select(key, "low", F.contains("low", F.lit(NAME)).alias("names"), F.contains("low", F.lit(LEAD)).alias("leads"), F.rlike("low", F.lit("[0-9]")).alias("numbers"))
+    r = rows.select(*keys, F.lower(marked).alias("low"))
+    return r.select(*keys, "low", F.contains("low", F.lit(NAME)).alias("names"), F.contains("low", F.lit(LEAD)).alias("leads"), F.rlike("low", F.lit("[0-9]")).alias("numbers"))
 
 
 def _unmarked() -> Column:
@@ -58,83 +78,109 @@ def _unmarked() -> Column:
 
 
 def _canonical(form: int) -> Column:
-    """Form 0 keeps names as words, form 1 marks those within a sentence, form 3 every capitalised word."""
-    t = _unmarked() if form == 0 else F.regexp_replace("low", rf"[{NAME}{LEAD}][\p{{L}}\p{{M}}]+", " #name ") if form == 3 else F.regexp_replace(F.replace("low", F.lit(LEAD), F.lit("")), rf"{NAME}\p{{L}}+", " #name ")
+    """PLAIN keeps names as words, NAMES marks those within a sentence, WIDE every capitalised word."""
+    name = {NAMES: NAME, WIDE: NAME + LEAD}.get(form)
+    t = _unmarked() if name is None else F.regexp_replace(F.col("low") if form == WIDE else F.replace("low", F.lit(LEAD), F.lit("")), rf"[{name}][\p{{L}}\p{{M}}]+", " #name ")
     t = F.when(F.col("numbers"), F.regexp_replace(F.regexp_replace(t, NUMBER, " #number "), rf"#number +(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", "#number #unit")).otherwise(t)
     return F.trim(F.regexp_replace(t, r"[^#a-z\p{L}\p{M}]+", " "))
 
 
-def _literal() -> Column:
-    return F.trim(F.regexp_replace(_unmarked(), r"[^a-z0-9\p{L}\p{M}]+", " "))
-
-
 def _raw() -> Column:
     """Tokens as they were, one for each token of a canonical form."""
     return F.expr(rf"regexp_extract_all(replace(replace(low, '{NAME}', ''), '{LEAD}', ''), '[\\p{{L}}\\p{{M}}]+|{NUMBER}', 0)")
 
 
-def _texts(rows: DataFrame, key: str) -> DataFrame:
-    """``(key, form, t)``: the text in every form that differs from the ones before it."""
+def _texts(rows: DataFrame, *keys: str, words: bool = True) -> DataFrame:
+    """``(keys, form, t)``: the text in every form that differs from the ones before it; the text word
+    by word only with ``words``."""
     form = lambda n, t: F.struct(F.lit(n).alias("form"), t.alias("t"))
-    forms = F.array(form(0, _canonical(0)), F.when(F.col("names"), form(1, _canonical(1))), F.when(F.col("numbers"), form(2, _literal())), F.when(F.col("leads"), form(3, _canonical(3))))
-    return _forms(rows, key).select(key, F.explode(F.array_compact(forms)).alias("f")).select(key, "f.form", "f.t")
+    forms = [form(PLAIN, _canonical(PLAIN)), F.when(F.col("names"), form(NAMES, _canonical(NAMES))), F.when(F.col("leads"), form(WIDE, _canonical(WIDE)))]
+    forms += [F.when(F.col("numbers"), form(WORDS, F.array_join(_raw(), " ")))] * words
+    return _forms(rows, *keys).select(*keys, F.explode(F.array_compact(F.array(*forms))).alias("f")).select(*keys, "f.form", "f.t")
 
 
-def _all_windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
-    """``(key, form, i, h)``: the windows of ``lengths`` tokens. Only templates with windows that are
-    mostly placeholders are longer than ``WINDOW``."""
+def _all_windows(docs: DataFrame, lengths: list[int], words: bool) -> DataFrame:
+    """``(doc_id, piece, form, i, h)``: the windows of ``lengths`` tokens. Only templates with windows
+    that are mostly placeholders are longer than ``WINDOW``."""
     cut_up = lambda n: F.expr(rf"regexp_extract_all(t, '(?=([^ ]++(?: [^ ]++){{{n - 1}}}+))[^ ]++', 1)")
     dense = F.rlike("t", F.lit(r"#[a-z]+ #[a-z]+ (?:#|[^ ]+ #[a-z]+ #)"))
-    runs = F.array_compact(F.array(*[cut_up(n) if n <= WINDOW else F.when(dense, cut_up(n)) for n in lengths]))
-    r = _texts(rows, key).select(key, "form", F.explode(runs).alias("run"))
-    return r.select(key, "form", F.posexplode("run").alias("i", "w")).select(key, "form", "i", F.xxhash64("w").alias("h"))
+    runs = F.array_compact(F.array(*[cut_up(n) if n <= WINDOW else F.when(dense | (F.col("form") == WORDS), cut_up(n)) for n in lengths]))
+    r = _texts(_pieces(docs, "doc_id"), "doc_id", "piece", words=words).select("doc_id", "piece", "form", F.explode(runs).alias("run"))
+    return r.select("doc_id", "piece", "form", F.posexplode("run").alias("i", "w")).select("doc_id", "piece", "form", "i", F.xxhash64("w").alias("h"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """``(item_id, j, a, n, wide, h, at, filled)``: window j starts at token a and has n; at and filled are
-    the places and fillers of its placeholders; wide: every capitalised word counts as a name."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    r = _texts(rows, "item_id").where("t <> ''").select("item_id", "form", F.split("t", " ").alias("c"))
-    r = r.join(_forms(rows, "item_id").select("item_id", _raw().alias("raw")), "item_id")
-    r = r.withColumn("size", F.size("c")).withColumn("words", F.filter(F.transform("c", lambda c, k: F.when((F.col("form") == 2) | ~F.startswith(c, F.lit("#")), k)), lambda k: k.isNotNull()))
-    r = r.where(F.size("words") > 0)  # placeholders alone are any such run of numbers: only word by word
+    """``(item_id, j, a, n, form, h, at, filled)``: window j starts at token a and has n; at and filled
+    are the places and fillers of its names."""
+    r = _texts(items, "item_id").where("t <> ''").select("item_id", "form", F.split("t", " ").alias("c"))
+    r = r.join(_forms(items, "item_id").select("item_id", _raw().alias("raw")), "item_id")
+    r = r.withColumn("size", F.size("c")).withColumn("words", F.filter(F.transform("c", lambda c, k: F.when((F.col("form") == WORDS) | ~F.startswith(c, F.lit("#")), k)), lambda k: k.isNotNull()))
+    bare = F.forall("raw", lambda x: F.rlike(x, F.lit("^[0-9]")))
+    # placeholders alone are any such run of numbers: only word by word, as no other item is
+    r = r.where(F.size("words") > 0).where((F.col("form") != WORDS) | bare)
     r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - WINDOW, F.lit(0)))))
     last = F.get(F.filter("words", lambda k: k >= F.col("j")), F.lit(LEAST_WORDS - 1))
     back = F.coalesce(F.get("words", F.size("words") - LEAST_WORDS), F.lit(0))
     r = r.withColumn("last", last).withColumn("a", F.when(F.col("last").isNull(), F.least("j", back)).otherwise(F.col("j")))
     r = r.withColumn("n", F.when(F.col("last").isNull(), F.col("size")).otherwise(F.greatest(F.least(F.col("j") + WINDOW, "size"), F.col("last") + 1)) - F.col("a"))
     r = r.withColumn("canon", F.slice("c", F.col("a") + 1, F.col("n")))
-    at = F.when(F.col("form") == 2, F.array().cast("array<int>")).otherwise(F.filter(F.transform("canon", lambda c, k: F.when(F.startswith(c, F.lit("#")), k)), lambda k: k.isNotNull()))
-    r = r.select("item_id", "j", "a", "n", (F.col("form") == 3).alias("wide"), F.xxhash64(F.array_join("canon", " ")).alias("h"), at.alias("at"), "raw")
-    return r.select("item_id", "j", "a", "n", "wide", "h", "at", F.transform("at", lambda k: F.get("raw", F.col("a") + k)).alias("filled")).distinct()
+    at = F.filter(F.transform("canon", lambda c, k: F.when(c == "#name", k)), lambda k: k.isNotNull())
+    r = r.select("item_id", "j", "a", "n", "form", F.xxhash64(F.array_join("canon", " ")).alias("h"), at.alias("at"), "raw")
+    return r.select("item_id", "j", "a", "n", "form", "h", "at", F.transform("at", lambda k: F.get("raw", F.col("a") + k)).alias("filled")).distinct()
+
+
+def _rarest(asked: DataFrame, sizes: DataFrame, cover: float) -> DataFrame:
+    """``(item_id, h)``: windows of which every item has one that is matched at all."""
+    shared = asked.groupBy("h").agg(F.count_distinct("item_id").alias("items"))
+    each = asked.join(shared, "h").groupBy("item_id", "j").agg(F.max("items").alias("items"))
+    nth = F.row_number().over(Window.partitionBy("item_id").orderBy("items", "j"))
+    total = F.count("*").over(Window.partitionBy("item_id"))
+    first = each.select("*", nth.alias("nth"), total.alias("total")).join(sizes, "item_id").where((F.col("nth") <= F.col("total") - F.ceil(F.col("n_windows") * cover - 1e-9) + 1))
+    return asked.join(first.select("item_id", "j"), ["item_id", "j"], "left_semi").select("item_id", "h").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER, broadcast_rows: int = 500_000) -> DataFrame:
     """``(doc_id, item_id, n_windows, n_matched, coverage, n_slots)`` for every document and the
-    items it holds; docs(doc_id, text), items(item_id, text)."""
+    items it holds; n_slots: names that stand in matched windows. docs(doc_id, text), items(item_id, text)."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     asked = cut(item_windows(items))
-    sizes = _forms(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "item_id")
-    sizes = sizes.groupBy("item_id").agg(F.max(F.greatest(F.size(_raw()) - (WINDOW - 1), F.lit(1))).cast("long").alias("n_windows"))
-    sizes = cut(sizes)
-    small = asked.count() <= broadcast_rows
-    side = lambda x: F.broadcast(x) if small else x
+    sizes = cut(_forms(items, "item_id").groupBy("item_id").agg(F.max(F.greatest(F.size(_raw()) - (WINDOW - 1), F.lit(1))).cast("long").alias("n_windows")))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lengths = sorted({r.n for r in asked.select("n").distinct().collect()})
-    met = (F.col("wide") | (F.col("form") == 3)).alias("wide")
-    hits = _all_windows(text, "doc_id", lengths or [WINDOW]).join(side(asked), "h").select("doc_id", "item_id", "i", "j", "a", "at", "filled", met)
-    hits = cut(hits.groupBy("doc_id", "item_id", "i", "j", "a", "at", "filled").agg(F.min("wide").alias("wide")))
-    plain = hits.where(F.size("at") == 0).select("doc_id", "item_id", "j", F.lit(0).alias("n_slots"))
-    slotted = hits.where(F.size("at") > 0)
-    those = cut(slotted.select(F.col("doc_id").alias("d")).distinct())
-    raw = _forms(text.join(those, F.expr("doc_id <=> d"), "left_semi"), "doc_id").select(F.col("doc_id").alias("d"), _raw().alias("raw"))
-    met = slotted.join(raw, F.expr("doc_id <=> d")).select("doc_id", "item_id", "j", (F.col("i") - F.col("a")).alias("apart"), "wide", F.arrays_zip("filled", F.transform("at", lambda k: F.get("raw", F.col("i") + k)).alias("met")).alias("slots"))
-    met = cut(met.withColumn("all_names", F.explode(F.when(F.col("wide"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True))))).drop("wide"))
-    one = met.select("doc_id", "item_id", "apart", "all_names", F.explode("slots").alias("s")).groupBy("doc_id", "item_id", "apart", "all_names")
-    fits = one.agg(*(F.size(F.collect_set(c)).alias(n) for c, n in (("s", "n"), ("s.filled", "n_slots"), ("s.met", "n_met")))).where("n = n_slots and n = n_met")
-    fits = cut(fits.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"), F.col("apart").alias("a"), F.col("all_names").alias("every"), "n_slots"))
-    fine = met.join(fits, F.expr("doc_id <=> d and item_id = t and apart = a and all_names = every")).select("doc_id", "item_id", "j", "n_slots")
-    found = plain.unionAll(fine).groupBy("doc_id", "item_id").agg(F.size(F.collect_set("j")).cast("long").alias("n_matched"), F.max("n_slots").cast("long").alias("n_slots"))
-    out = found.join(side(sizes), "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    kinds = asked.groupBy("n", F.expr(f"form = {WORDS}").alias("words")).count().collect()  # a row for each length of a window
+    lengths, words = sorted({r.n for r in kinds}) or [WINDOW], any(r.words for r in kinds)
+
+    rare = cut(_rarest(asked, sizes, cover))
+    rare = F.broadcast(rare) if rare.count() <= broadcast_rows else rare
+    likely = cut(_all_windows(text, lengths, words).join(rare, "h").select("doc_id", "item_id").distinct())
+    those = likely.select(F.col("doc_id").alias("d")).distinct()
+    text = cut(text.join(those, F.expr("doc_id <=> d"), "left_semi"))
+
+    seen = _all_windows(text, lengths, words).select("doc_id", "piece", "i", "h", (F.col("form") == WIDE).alias("open"))
+    pair = likely.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"))
+    hits = seen.join(asked, "h").join(pair, F.expr("doc_id <=> d and item_id = t"), "left_semi")
+    met = F.min((F.col("form") == WIDE) | F.col("open")).alias("wide")
+    hits = cut(hits.groupBy("doc_id", "piece", "item_id", "i", "j", "a", "at", "filled").agg(met))
+    plain = hits.where(F.size("at") == 0).select("doc_id", "item_id", F.explode(F.array(F.lit(False), F.lit(True))).alias("every"), "j", F.lit(None).cast("string").alias("name"))
+
+    raw = _forms(_pieces(text, "doc_id"), "doc_id", "piece").select(F.col("doc_id").alias("d"), F.col("piece").alias("p"), _raw().alias("raw"))
+    # rows that share a doc_id are judged together: a place may have several tokens
+    every = F.explode(F.when(F.col("wide"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("every")
+    slots = F.transform("at", lambda k, n: F.named_struct(F.lit("place"), F.col("a") + k, F.lit("name"), F.get("filled", n), F.lit("met"), F.get("raw", F.col("i") + k)))
+    group = ["doc_id", "piece", "item_id", "apart", "every"]
+    named = hits.where(F.size("at") > 0).join(raw, F.expr("doc_id <=> d and piece = p")).select("doc_id", "piece", "item_id", "j", "at", (F.col("i") - F.col("a")).alias("apart"), every, slots.alias("slots"))
+    named = cut(named.select(*group, "j", "at", F.explode("slots").alias("s")).select(*group, "j", "at", "s.*"))
+    votes = named.groupBy(*group, "name", "met").agg(F.count_distinct("place").alias("votes"))
+    stands = votes.groupBy(*group, "name").agg(F.min_by("met", F.struct(-F.col("votes"), "met")).alias("stands_for"), F.max("votes").alias("top"))
+    places = named.groupBy(*group).agg(F.count_distinct("place").alias("places")).select(*(F.col(c).alias(c + "_") for c in group), "places")
+    agreed = stands.groupBy(*group).agg(F.sum("top").alias("top")).join(places, F.expr(" and ".join(f"{c} <=> {c}_" for c in group))).where(F.col("top") >= F.col("places") * AGREED - 1e-9)
+    stands = stands.drop("top").join(agreed.select(*(c + "_" for c in group)), F.expr(" and ".join(f"{c} <=> {c}_" for c in group)), "left_semi")
+    same = F.expr(" and ".join(f"{c} <=> {c}_" for c in [*group, "name"]))
+    checked = named.join(stands.select(*(F.col(c).alias(c + "_") for c in [*group, "name"]), "stands_for"), same)
+    fits = checked.groupBy(*group, "j", "at").agg(F.bool_and(F.col("met").eqNullSafe(F.col("stands_for"))).alias("fits"), F.collect_set("name").alias("names"))
+    fine = fits.where("fits").select("doc_id", "item_id", "every", "j", F.explode("names").alias("name"))
+    found = plain.unionAll(fine).groupBy("doc_id", "item_id", "every").agg(F.count_distinct("j").alias("n_matched"), F.count_distinct("name").alias("n_slots"))
+    found = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "n_slots")).alias("m")).select("doc_id", "item_id", "m.*")
+    out = found.join(sizes, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     return out.where(F.col("coverage") >= cover).select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "n_slots")
 
 

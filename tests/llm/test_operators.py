@@ -369,3 +369,98 @@ def test_pipeline_stages_on_awkward_rows(spark, clashing):
             assert name == corpus_pipeline.STAGES[-1][0] or got.columns == docs.columns
             rows = got.collect()
             assert bool(rows) or docs is not clashing or name == corpus_pipeline.STAGES[0][0]
+
+
+def test_decontaminate_roles_of_numbers(spark):
+    """One number in two roles, two numbers that become one, many slots in a window, a stray hit."""
+    two = "Sam buys {} apples at the market and later finds {} more in the old basket of his aunt"
+    assert leaks(spark, two.format(2, 2), two.format(7, 9), "Sam buys no apples at the market") == [0]
+    goats = "There are {} goats and {} sheep on the farm and all of them want to eat grass today"
+    assert leaks(spark, goats.format(3, 5), goats.format(4, 4)) == [0]
+    sums = "Compute the value of {} + {} - {} + {} = {} and write down what is left of it in words"
+    assert leaks(spark, sums.format(3, 4, 5, 6, 8), sums.format(1, 1, 9, 7, 2)) == [0]
+    names = "Before noon {a} walks to the shop with {b} and then {a} pays for bread while {b} waits outside of the shop door in the rain"
+    copy = names.format(a="Peter", b="Maria")
+    assert leaks(spark, names.format(a="Anna", b="Tom"), copy, copy + ". Then Ruth walks to the shop with Karl", copy.replace("then Peter", "then Ruth").replace("while Maria", "while Karl")) == [0, 1]
+
+
+def templates_by_hand(docs, items, cover=0.8):
+    """The rule of the operator over whole texts, one document and item at a time."""
+    import regex
+
+    number, word = r"[0-9]+(?:[.,:/][0-9]+)*", r"[\p{L}\p{M}]+"
+
+    def tokens(text):
+        text, out, before = text.replace("#", " "), [], ""
+        for m in regex.finditer(rf"{word}|{number}", text):
+            t, a = m[0], m.start()
+            kind = "number" if t[0].isdigit() else "unit" if out and out[-1][1] == "number" and regex.fullmatch(r"[\s]*", text[before:a]) and t.lower() in decontaminate.UNITS and " " * (a - before) == text[before:a] and a > before else "word"
+            if kind == "word" and regex.match(r"\p{Lu}\p{Ll}", t):
+                kind = "name" if a > 1 and text[a - 1] == " " and regex.match(r"[\p{L}\p{N},;]", text[a - 2]) else "lead"
+            out.append((t.lower(), kind))
+            before = m.end()
+        return out
+
+    def canon(toks, form):
+        return ["#" + k.replace("lead", "name") if k in ("number", "unit") or k == "name" and form in ("names", "wide") or k == "lead" and form == "wide" else t for t, k in toks]
+
+    def windows(toks, form):
+        c, out = canon(toks, form), []
+        words = [k for k, x in enumerate(c) if x[0] != "#"]
+        for j in range(max(len(c) - 4, 1)) if words else ():
+            rest = [k for k in words if k >= j]
+            a, b = (j, max(min(j + 5, len(c)), rest[1] + 1)) if len(rest) > 1 else (min(j, words[-2] if len(words) > 1 else 0), len(c))
+            out.append((j, a, tuple(c[a:b])))
+        return out
+
+    found = {}
+    for item, asked in items.items():
+        it = tokens(asked)
+        for doc, text in docs.items():
+            dt, matched = tokens(text), {True: set(), False: set()}
+            if not it or not dt:
+                continue
+            aligned = defaultdict(set)
+            for form in ("plain", "names", "wide"):
+                c = canon(dt, form)
+                for j, a, w in windows(it, form):
+                    for i in range(len(c) - len(w) + 1):
+                        if tuple(c[i : i + len(w)]) == w:
+                            at = tuple(k for k, x in enumerate(w) if x == "#name")
+                            if not at:
+                                matched[True].add(j)
+                                matched[False].add(j)
+                            for every in (True,) if form == "wide" else (True, False):
+                                aligned[i - a, every].add((j, a, i, at))
+            for (_, every), hits in aligned.items():
+                votes = defaultdict(lambda: defaultdict(set))
+                for j, a, i, at in hits:
+                    for k in at:
+                        votes[it[a + k][0]][dt[i + k][0]].add(a + k)
+                stands = {n: min(v, key=lambda x: (-len(v[x]), x)) for n, v in votes.items()}
+                agree = sum(len(v[stands[n]]) for n, v in votes.items()) >= 0.8 * sum(len(set().union(*v.values())) for v in votes.values()) - 1e-9
+                matched[every] |= {j for j, a, i, at in hits if at and agree and all(stands[it[a + k][0]] == dt[i + k][0] for k in at)}
+            n = max(len(it) - 4, 1)
+            if max(map(len, matched.values())) / n >= cover:
+                found[doc, item] = (n, max(map(len, matched.values())))
+    return found
+
+
+def test_decontaminate_by_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    vocabulary = "Anna Peter Tom walks runs to with 12 7 3.5 km hours and the shop 40 Maria, buys apples; then. Has how many? 2 percent of ÉlanVital now".split()
+    items = {i: " ".join(rng.choice(vocabulary, rng.integers(1, 16))) for i in range(40)}
+    swap = {"Anna": "Ruth", "Peter": "Karl", "12": "99", "7": "7", "km": "miles", "Tom": "Anna"}
+    docs = {}
+    for d in range(120):
+        item = items[int(rng.integers(40))].split()
+        kept = [swap.get(w, w) if d % 3 == 0 else rng.choice(vocabulary) if d % 3 == 1 and rng.random() < 0.06 else w for w in item]
+        docs[d] = " ".join([*rng.choice(vocabulary, rng.integers(0, 9)), *kept, *rng.choice(vocabulary, rng.integers(0, 9))])
+    args = (spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    want = templates_by_hand(docs, {i: t for i, t in items.items() if any(k[0] not in "0123456789" for k in re.findall(r"\w+", t))})
+    assert len(want) > 80
+    rows = lambda out: {(r.doc_id, r.item_id): (r.n_windows, r.n_matched) for r in out.collect()}
+    got = rows(decontaminate.contaminated(*args))
+    assert got == want
+    monkeypatch.setattr(decontaminate, "_pieces", lambda r, k, real=decontaminate._pieces: real(r, k, 40, 400))
+    assert set(rows(decontaminate.contaminated(*args, broadcast_rows=0))) == set(want)
