@@ -27,7 +27,8 @@ many items share meets all documents. First-pass windows (an item and a hash) ar
 ``broadcast_rows`` of them, 16 bytes each, and shuffled beyond.
 
 Defined results: null and empty texts match nothing; an item of fewer than five tokens is one window
-of all of them. Very long texts are cut between words into pieces that overlap by more than an item.
+of all of them. Very long texts are cut between words into pieces that overlap by more than an item;
+what starts before a cut is whole in the piece before, and names are also judged by the part behind.
 Rows that repeat a doc_id are judged together; of equal windows of an item each counts. Extra
 columns are ignored; an empty table on either side gives an empty result.
 """
@@ -48,7 +49,6 @@ UNITS = (
 ).split()
 NAME, LEAD = "", ""
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-FIVE = r"(?=([^ ]++(?: [^ ]++){4}+))[^ ]++"
 PIECE, OVERLAP = 1 << 16, 1 << 13
 PLAIN, NAMES, WORDS, WIDE = range(4)
 
@@ -102,11 +102,13 @@ def _texts(rows: DataFrame, *keys: str, words: bool = True) -> DataFrame:
 def _all_windows(docs: DataFrame, lengths: list[int], words: bool) -> DataFrame:
     """``(doc_id, piece, form, i, h)``: the windows of ``lengths`` tokens. Only templates with windows
     that are mostly placeholders are longer than ``WINDOW``."""
-    cut_up = lambda n: F.expr(rf"regexp_extract_all(t, '(?=([^ ]++(?: [^ ]++){{{n - 1}}}+))[^ ]++', 1)")
+    at = lambda n: F.when(F.size("c") >= n, F.transform(F.sequence(F.lit(1), F.size("c") - (n - 1)), lambda i: F.xxhash64(F.slice("c", i, n))))
     dense = F.rlike("t", F.lit(r"#[a-z]+ #[a-z]+ (?:#|[^ ]+ #[a-z]+ #)"))
-    runs = F.array_compact(F.array(*[cut_up(n) if n <= WINDOW else F.when(dense | (F.col("form") == WORDS), cut_up(n)) for n in lengths]))
-    r = _texts(_pieces(docs, "doc_id"), "doc_id", "piece", words=words).select("doc_id", "piece", "form", F.explode(runs).alias("run"))
-    return r.select("doc_id", "piece", "form", F.posexplode("run").alias("i", "w")).select("doc_id", "piece", "form", "i", F.xxhash64("w").alias("h"))
+    t = _texts(_pieces(docs, "doc_id"), "doc_id", "piece", words=words).where("t <> ''")
+    t = t.select("doc_id", "piece", "form", F.split("t", " ").alias("c"), (dense | (F.col("form") == WORDS)).alias("dense"))
+    runs = F.array_compact(F.array(*[at(n) if n <= WINDOW else F.when(F.col("dense"), at(n)) for n in lengths]))
+    r = t.select("doc_id", "piece", "form", F.explode(runs).alias("run"))
+    return r.select("doc_id", "piece", "form", F.posexplode("run").alias("i", "h"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -125,7 +127,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     r = r.withColumn("n", F.when(F.col("last").isNull(), F.col("size")).otherwise(F.greatest(F.least(F.col("j") + WINDOW, "size"), F.col("last") + 1)) - F.col("a"))
     r = r.withColumn("canon", F.slice("c", F.col("a") + 1, F.col("n")))
     at = F.filter(F.transform("canon", lambda c, k: F.when(c == "#name", k)), lambda k: k.isNotNull())
-    r = r.select("item_id", "j", "a", "n", "form", F.xxhash64(F.array_join("canon", " ")).alias("h"), at.alias("at"), "raw")
+    r = r.select("item_id", "j", "a", "n", "form", F.xxhash64("canon").alias("h"), at.alias("at"), "raw")
     return r.select("item_id", "j", "a", "n", "form", "h", "at", F.transform("at", lambda k: F.get("raw", F.col("a") + k)).alias("filled")).distinct()
 
 
