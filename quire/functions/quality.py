@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,18 +28,29 @@ def char_run(text: Column, most: int = 75) -> Column:
     return F.rlike(text, F.lit(r"(?d)(.)\1{%d,}" % (most - 1)))
 
 
+def loops(text: str, least: int = 30, most: int = 80, step: int = 4, times: int = 15, letters: int = 15) -> bool:
+    """Whether a window of some size recurs often enough; windows are compared by rolling hashes of the
+    whole text at once, and those that seem to recur by their characters."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    power = np.full(len(code) + 1, 0xD1342543DE82EF95, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+    alnum = np.concatenate([[0], np.cumsum([c.isalnum() for c in text])])
+    for size in range(least, min(most, len(text) // times) + 1, step):
+        h = (before[size:] - before[:-size]) * power[len(code) - size :: -1]
+        ok = alnum[size:] - alnum[:-size] >= letters
+        at = np.flatnonzero(ok)
+        _, first, of, n = np.unique(h[at], return_index=True, return_inverse=True, return_counts=True)
+        for k in np.flatnonzero(n >= times).tolist():
+            part = text[at[first[k]] : at[first[k]] + size]
+            if sum(text.startswith(part, i) for i in at[of == k].tolist()) >= times:
+                return True
+    return False
+
+
 @F.pandas_udf(T.BooleanType())
 def _substring_loop(s: pd.Series) -> pd.Series:
-    def loops(t: str) -> bool:
-        for size in range(30, min(80, len(t) // 15) + 1, 4):
-            seen: dict[str, int] = {}
-            for i in range(len(t) - size + 1):
-                part = t[i : i + size]
-                n = seen[part] = seen.get(part, 0) + 1
-                if n >= 15 and sum(c.isalnum() for c in part) >= 15:
-                    return True
-        return False
-
     return s.map(lambda t: t is not None and loops(t))
 
 
@@ -48,6 +60,7 @@ def substring_loop(text: Column) -> Column:
 
 
 def truncated(text: Column, least: int = 0) -> Column:
+    """Fewer characters than a page should have; 0 switches it off (H2)."""
     return F.length(strip(text)) < least
 
 
@@ -78,9 +91,21 @@ def invalid_marks(text: Column) -> Column:
     return F.when(icons, "icons").when(generic > 3, "generic").when(damaged > 3, "damaged").when((asked >= 10) & (asked > 0.05 * F.length(text)), "questions")
 
 
-def first_failure(text: Column, skip: Column | None = None, marks: bool = False) -> Column:
+def low_input(tokens: Column, least: int) -> Column:
+    """A call that counted fewer input tokens than its image takes (H7)."""
+    return (tokens > 0) & (tokens < least)
+
+
+def output_truncated(metadata: Column) -> Column:
+    """One of the three signs that a provider cut an answer off, in its metadata as JSON (H8)."""
+    m = F.from_json(metadata, "incomplete_details struct<reason:string>, stop_reason string, finish_reason string")
+    return F.coalesce(m["incomplete_details"]["reason"] == "max_output_tokens", F.lit(False)) | F.coalesce(m["stop_reason"] == "max_tokens", F.lit(False)) | F.coalesce(m["finish_reason"] == "MAX_TOKENS", F.lit(False))
+
+
+def first_failure(text: Column, skip: Column | None = None, marks: bool = False, least: int = 0) -> Column:
     """Name of the first validator that fails, null if none does or the page is flagged (H6)."""
-    out = F.when(char_run(text), "char_run").when(substring_loop(text), "substring_loop").when(prompt_bleed(text), "prompt_bleed").when(repeated_line(text).isNotNull(), "repeated_line")
+    t = F.coalesce(text, F.lit(""))
+    out = F.when(char_run(t), "char_run").when(substring_loop(t), "substring_loop").when(truncated(t, least), "truncated").when(prompt_bleed(t), "prompt_bleed").when(repeated_line(t).isNotNull(), "repeated_line")
     if marks:
-        out = out.when(invalid_marks(text).isNotNull(), "invalid_marks")
+        out = out.when(invalid_marks(t).isNotNull(), "invalid_marks")
     return out if skip is None else F.when(~F.coalesce(skip, F.lit(False)), out)

@@ -57,8 +57,8 @@ def from_editable(docs: DataFrame, by: list[str]) -> DataFrame:
 
 def split_pages(docs: DataFrame, by: list[str], size: int = 2000) -> DataFrame:
     """Pages of at most so many characters, so that page operators work on long documents too."""
-    n = F.greatest(F.ceil(F.length("text") / size), F.lit(1)).cast("int")
-    return docs.select(*by, "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("page_index")).select(*by, "page_index", F.substring("text", F.col("page_index") * size + 1, F.lit(size)).alias("text"))
+    pages = F.regexp_extract_all("text", F.lit(r"(?s).{1,%d}" % size), F.lit(0))
+    return docs.select(*by, F.posexplode(F.when(F.size(pages) > 0, pages).otherwise(F.array("text"))).alias("page_index", "text"))
 
 
 def running_index(pages: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -67,5 +67,9 @@ def running_index(pages: DataFrame, by: list[str], order: str) -> DataFrame:
 
 
 def ground_truth(pages: DataFrame) -> DataFrame:
-    """Pages as JSON lines without null fields."""
-    return pages.select(F.to_json(F.struct("image_name", "page_index", F.col("text").alias("transcription"), "no_transcribable_text", "transcription_not_possible")).alias("value"))
+    """Pages as JSON lines; a custom_id only where there is one."""
+    fields = ("page_index", "image_name", "transcription", "no_transcribable_text", "transcription_not_possible")
+    r = pages.withColumn("transcription", F.col("text"))
+    head, known = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), F.to_json(F.struct("custom_id"))
+    both = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(","), F.substring(known, F.lit(2), F.length(known)))
+    return r.select(*pages.columns, F.when(F.coalesce("custom_id", F.lit("")) != "", both).otherwise(head).alias("value"))

@@ -10,6 +10,12 @@ from ..functions.text import collapse, formatting, strip_formatting, words
 SUMS = ("char_distance", "ref_chars", "word_distance", "ref_words", "content_char_distance", "content_ref_chars", "content_word_distance", "content_ref_words", "hyp_pages", "ref_pages", "hyp_headings", "ref_headings", "hyp_emphasis", "ref_emphasis")
 
 
+def char_distance(r: Column, h: Column, near: int = 24) -> Column:
+    """Edit distance of two texts (I1): within a band around the diagonal first, and over all only where
+    the texts differ by more."""
+    return F.when(r == h, 0).otherwise(F.coalesce(F.nullif(F.levenshtein(r, h, near), F.lit(-1)), F.levenshtein(r, h)))
+
+
 def word_distance(a: Column, b: Column, alphabet: Column) -> Column:
     """Edit distance of two arrays of words, each word as one character for its place in the alphabet
     of both (I1). The alphabet should be a column of its own, so that it is made once a row; up to
@@ -26,6 +32,17 @@ def rate(distance: Column, size: Column, other: Column) -> Column:
     return F.when(size > 0, distance / size).otherwise(other.cast("double"))
 
 
+def page_rates(metrics: DataFrame, keep: list[str]) -> DataFrame:
+    """Character and word error rates of pages."""
+    return metrics.select(*keep, rate(F.col("char_distance"), F.col("ref_chars"), F.col("hyp_chars")).alias("cer"), rate(F.col("word_distance"), F.col("ref_words"), F.col("hyp_words")).alias("wer"))
+
+
+def with_total(details: DataFrame, label: str, sums: list[str]) -> DataFrame:
+    """Detail rows and a row TOTAL of their sums."""
+    total = details.agg(*(F.sum(c).alias(c) for c in sums)).withColumn(label, F.lit("TOTAL"))
+    return details.select(F.col(label).cast("string").alias(label), *sums).unionByName(total)
+
+
 def align(hyp: DataFrame, ref: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
     """Pages of both sides by key, the first of each where a key repeats (F1)."""
     def first(df: DataFrame, name: str) -> DataFrame:
@@ -46,9 +63,9 @@ def page_metrics(pairs: DataFrame, keep: list[str]) -> DataFrame:
     p = p.select("*", *(F.array_distinct(F.concat("w" + x, "w" + y)).alias("a" + x) for x, y in (("r", "h"), ("cr", "ch"))))
     return p.select(
         *keep,
-        F.levenshtein("r", "h").cast("long").alias("char_distance"), F.length("r").cast("long").alias("ref_chars"), F.length("h").cast("long").alias("hyp_chars"),
+        char_distance(F.col("r"), F.col("h")).cast("long").alias("char_distance"), F.length("r").cast("long").alias("ref_chars"), F.length("h").cast("long").alias("hyp_chars"),
         word_distance(F.col("wr"), F.col("wh"), F.col("ar")).cast("long").alias("word_distance"), F.size("wr").cast("long").alias("ref_words"), F.size("wh").cast("long").alias("hyp_words"),
-        F.levenshtein("cr", "ch").cast("long").alias("content_char_distance"), F.length("cr").cast("long").alias("content_ref_chars"),
+        char_distance(F.col("cr"), F.col("ch")).cast("long").alias("content_char_distance"), F.length("cr").cast("long").alias("content_ref_chars"),
         word_distance(F.col("wcr"), F.col("wch"), F.col("acr")).cast("long").alias("content_word_distance"), F.size("wcr").cast("long").alias("content_ref_words"),
         *(F.col(f"{s}_{k}").cast("long").alias(f"{s}_{k}s") for s in ("hyp", "ref") for k in ("page", "heading")),
         *((F.col(f"{s}_bold") + F.col(f"{s}_italic")).cast("long").alias(f"{s}_emphasis") for s in ("hyp", "ref")),

@@ -13,11 +13,12 @@ PAGE = "image_name string, text_chunk string, order_index int, method string, ti
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """``(source, line_no, raw)`` of JSON line files, any depth; error files and repair logs are left
-    out, blank lines too (A1, A3). Files are read whole to number their lines."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    name = base_name(F.col("_metadata.file_path"))
-    lines = files.where(~F.startswith(name, F.lit("errors_")) & ~F.endswith(name, F.lit("_temporary_repair.jsonl")))
-    return lines.select(F.col("_metadata.file_path").alias("source"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw")).where("trim(raw) <> ''")
+    out, blank lines too (A1, A3). Large files are split; line_no is a line's place in its file, which
+    orders its lines."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    name, at = base_name(F.col("_metadata.file_path")), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    rows = lines.select(F.col("_metadata.file_path").alias("source"), at.alias("line_no"), F.col("value").alias("raw"), name.alias("name"))
+    return rows.where(~F.startswith("name", F.lit("errors_")) & ~F.endswith("name", F.lit("_temporary_repair.jsonl")) & (F.trim("raw") != "")).drop("name")
 
 
 def kinds(log: DataFrame) -> DataFrame:
@@ -57,8 +58,8 @@ def pending(needed: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def after_last(rows: DataFrame, marker: Column, by: str = "source", order: str = "line_no") -> DataFrame:
     """Records behind the last marked one of their file; all if none is."""
-    last = F.max(F.when(marker, F.col(order))).over(Window.partitionBy(by))
-    return rows.withColumn("_last", last).where(F.col("_last").isNull() | (F.col(order) > F.col("_last"))).drop("_last")
+    last = rows.where(marker).groupBy(by).agg(F.max(order).alias("_last"))
+    return rows.join(last, by, "left").where(F.col("_last").isNull() | (F.col(order) > F.col("_last"))).drop("_last")
 
 
 def resume_version(log: DataFrame) -> DataFrame:

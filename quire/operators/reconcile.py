@@ -68,8 +68,3 @@ def patch(lines: DataFrame, repaired: DataFrame, keys: list[str]) -> DataFrame:
     """Lines with those that repairs have a text for replaced."""
     new = repaired.select(*keys, F.col("line").alias("_new"))
     return lines.join(new, keys, "left").withColumn("line", F.when(F.trim(F.coalesce("_new", F.lit(""))) != "", F.col("_new")).otherwise(F.col("line"))).drop("_new")
-
-
-def outcome(n_pages: Column, n_failed: Column, finalized: Column, complete: Column) -> Column:
-    """What a batch run came to."""
-    return F.when(finalized, "skipped").when(~complete, "pending").when(n_failed >= n_pages, "failed").otherwise("finalized")

@@ -48,6 +48,18 @@ class PageRange:
             out = out | ((index >= a) if b is None else index.between(a, b))
         return out
 
+    @property
+    def is_empty(self) -> bool:
+        """Asks for nothing."""
+        return self.first is None and self.last is None and not self.spans
+
+    def describe(self) -> str:
+        """The range in words."""
+        if self.first is not None or self.last is not None:
+            return f"first {self.first} pages" if self.first is not None else f"last {self.last} pages"
+        one = lambda a, b: f"{a + 1}-" if b is None else f"{a + 1}" if a == b else f"{a + 1}-{b + 1}"
+        return "pages " + ", ".join(one(a, b) for a, b in self.spans) if self.spans else "no pages"
+
     def apply(self, pages: DataFrame, by: list[str], index: str = "page_index") -> DataFrame:
         return pages.withColumn("_total", F.count("*").over(Window.partitionBy(*by))).where(self.predicate(F.col(index), F.col("_total"))).drop("_total")
 
@@ -101,6 +113,37 @@ def capabilities(models: DataFrame, rules: DataFrame) -> DataFrame:
     return m.withColumn("_n", F.row_number().over(Window.partitionBy("model").orderBy("rule_no"))).where("_n = 1").drop("_n")
 
 
+def model_type(provider: Column, model: Column) -> Column:
+    """Whose images settings a model takes: its provider's, or its name's behind a router."""
+    p, m = F.lower(provider), F.lower(F.coalesce(model, F.lit("")))
+    return (
+        F.when(p.isin("custom", "google", "anthropic", "openai"), p)
+        .when(F.contains(m, F.lit("gemini")) | F.contains(m, F.lit("google/")), "google")
+        .when(F.contains(m, F.lit("claude")) | F.contains(m, F.lit("anthropic/")), "anthropic")
+        .otherwise("openai")
+    )
+
+
+def image_section(kind: Column) -> Column:
+    """The section of the settings that holds a model type's image settings."""
+    return F.when(kind.isin("custom", "google", "anthropic"), F.concat(kind, F.lit("_image_processing"))).otherwise("api_image_processing")
+
+
+def images_refused(needs_images: Column, takes_images: Column) -> Column:
+    """A model that can't do what is asked of it."""
+    return needs_images & ~F.coalesce(takes_images, F.lit(False))
+
+
+def disabled(flags: dict[str, Column]) -> Column:
+    """Names of the parameters that a model doesn't take (Q23)."""
+    return F.array_compact(F.array(*(F.when(~F.coalesce(on, F.lit(True)), F.lit(k)) for k, on in flags.items())))
+
+
+def named_like(name: Column, part: Column) -> Column:
+    """A name with this part, whatever the case."""
+    return F.contains(F.lower(name), F.lower(F.trim(part)))
+
+
 def batch_provider(batch_id: Column) -> Column:
     """Who issued a batch id."""
     return F.when(F.startswith(batch_id, F.lit("msgbatch_")), "anthropic").when(F.startswith(batch_id, F.lit("batches/")), "google").otherwise("openai")
@@ -131,5 +174,6 @@ def failure_guard(pages: DataFrame, by: list[str]) -> DataFrame:
 
 def stem_collisions(files: DataFrame, name: str = "name") -> DataFrame:
     """Files whose name without its extension isn't unique."""
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    return files.withColumn("stem", stem).withColumn("collides", F.count("*").over(Window.partitionBy("stem")) > 1)
+    staged = files.withColumn("stem", F.regexp_replace(name, r"\.[^.]*$", ""))
+    shared = staged.groupBy("stem").agg((F.count("*") > 1).alias("collides"))
+    return staged.join(shared, "stem")

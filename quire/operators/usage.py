@@ -22,15 +22,19 @@ def snapshot(buckets: DataFrame, tool: str) -> DataFrame:
     return buckets.groupBy("day").agg(F.sum("tokens").alias("combined"), F.sum(F.when(F.col("tool") == tool, F.col("tokens")).otherwise(0)).alias("own_total"), F.sum(F.when(F.col("pool").isNull(), F.col("tokens")).otherwise(0)).alias("unattributed"))
 
 
-def balanced(total: Column, rows: Column) -> tuple[Column, Column]:
-    """A total that covers its rows, and what no row accounts for."""
-    return F.greatest(total, rows), F.greatest(total - rows, F.lit(0))
+def reconciled(totals: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, tokens, unattributed)``: what each tool used, no less than its rows hold, and what of that
+    no row accounts for (I23); totals(by, tokens), rows(by, tokens)."""
+    held = rows.groupBy(*by).agg(F.sum("tokens").alias("held"))
+    both = totals.groupBy(*by).agg(F.sum("tokens").alias("total")).join(held, by, "full_outer")
+    total, own = F.coalesce("total", F.lit(0)), F.coalesce("held", F.lit(0))
+    return both.select(*by, F.greatest(total, own).alias("tokens"), F.greatest(total - own, F.lit(0)).alias("unattributed"))
 
 
 def budget(used: DataFrame, caps: DataFrame, key: str = "pool") -> DataFrame:
     """Used, remaining and share of each pool's cap; pools without a cap have none."""
     r = used.join(caps, key, "left")
-    return r.withColumn("remaining", F.greatest(F.col("cap") - F.col("used"), F.lit(0))).withColumn("share", F.try_divide(F.col("used") * 100.0, "cap"))
+    return r.withColumn("remaining", F.when(F.col("cap").isNotNull(), F.greatest(F.col("cap") - F.col("used"), F.lit(0)))).withColumn("share", F.try_divide(F.col("used") * 100.0, "cap"))
 
 
 def pool_of(usage: DataFrame, rules: DataFrame, model: str = "model") -> DataFrame:
@@ -46,9 +50,11 @@ def pool_of(usage: DataFrame, rules: DataFrame, model: str = "model") -> DataFra
 
 
 def smoothed(rows: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.3, seed: float = 25_000.0) -> DataFrame:
-    """Exponentially weighted tokens per call after the last call."""
-    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("x")))).alias("r"))
-    return held.select(*by, F.aggregate("r", F.lit(seed), lambda e, s: alpha * s["x"] + (1 - alpha) * e).alias("estimate"))
+    """Exponentially weighted tokens per call after the last call (J4), as the sum of weights that fall
+    with the number of later calls."""
+    later = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order))) - 1
+    w = rows.select(*by, F.col(value).cast("double").alias("_x"), later.alias("_later"))
+    return w.groupBy(*by).agg((F.sum(alpha * F.pow(F.lit(1 - alpha), F.col("_later")) * F.col("_x")) + seed * F.pow(F.lit(1 - alpha), F.count("*"))).alias("estimate"))
 
 
 def admitted(calls: DataFrame, by: list[str], order: str, cost: str, cap: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,17 +18,21 @@ def page_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def keep_latest(stream: DataFrame, target: str, checkpoint: str, keys: tuple[str, ...] = ("source", "image_name")) -> StreamingQuery:
-    """Merge each batch into a table of the latest record per page; a batch that runs again after a
-    failure finds its own version and changes nothing (L3-L5). Late records replace earlier ones."""
-    def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        exists = lambda v: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={v}/_SUCCESS"))
-        both = spark.read.parquet(f"{target}/v={n - 1}").unionByName(batch) if n and exists(n - 1) else batch
-        if not exists(n):
-            last_per_image(both, keys).drop("first_pos").write.mode("overwrite").parquet(f"{target}/v={n}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Add each batch to a table of page records (L3, L4). A batch is one folder named after its
+    checkpoint and number, so one that runs again after a failure replaces itself, and a new checkpoint
+    never meets the folders of an old one; nothing that was written before is written again."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def add(batch: DataFrame, n: int) -> None:
+        last_per_image(batch, keys).drop("first_pos").write.mode("overwrite").parquet(f"{target}/batch={run}-{n}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, target: str, keys: tuple[str, ...] = ("source", "image_name")) -> DataFrame:
+    """The latest record per page of a table made by :func:`keep_latest`: a later record replaces an
+    earlier one, however late its batch came (L5)."""
+    return last_per_image(spark.read.parquet(target).drop("batch"), keys).drop("first_pos")
 
 
 def daily_usage(stream: DataFrame, late: str = "1 day") -> DataFrame:
