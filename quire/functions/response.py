@@ -20,8 +20,9 @@ MOST_BRACES = 1000
 
 
 def is_object(c: Column) -> Column:
-    """Parses as a JSON object."""
-    return F.coalesce(F.startswith(F.ltrim(c), F.lit("{")), F.lit(False)) & F.try_parse_json(c).isNotNull()
+    """Parses as one JSON object (E1); as the only item of an array, as what follows a value is ignored."""
+    v = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.coalesce(F.startswith(F.ltrim(c), F.lit("{")), F.lit(False)) & v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
 
 
 def strip_fences(c: Column) -> Column:
