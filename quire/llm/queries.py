@@ -71,19 +71,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in all_}
 
 
-OP10_SQL = """
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents
-), w AS (
-  SELECT doc_id, pos, line, lead(line, 1) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
-), f AS (
-  SELECT doc_id, pos, min((doc_id, pos)) OVER (PARTITION BY line, b, c) AS first FROM w WHERE c IS NOT NULL
-), g AS (
-  SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM f WHERE (doc_id, pos) > first
-)
-SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted,
-       md5(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '')) AS kept_md5
-FROM l LEFT JOIN g USING (doc_id, pos) GROUP BY l.doc_id
+#: A line goes if it lies in a run of eight words or more that also starts earlier. A run of that many
+#: words is made of the shortest such runs that start, and those that end, at its lines.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+c AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+w AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM c),
+f AS (SELECT w.doc_id, w.pos AS a, e.pos AS b FROM w ASOF JOIN (SELECT * FROM w WHERE n > 0) e ON w.doc_id = e.doc_id AND w.upto - w.n + 8 <= e.upto),
+g AS (SELECT w.doc_id, s.pos AS a, w.pos AS b FROM w ASOF JOIN (SELECT *, upto - n AS before FROM w WHERE n > 0) s ON w.doc_id = s.doc_id AND w.upto - 8 >= s.before),
+r AS (SELECT doc_id, a, b, 'f' AS kind FROM f UNION ALL SELECT doc_id, a, b, 'g' FROM g),
+t AS (SELECT r.doc_id, a, b, min((r.doc_id, a)) OVER (PARTITION BY kind, list_slice(d.lines, a, b)) AS first FROM r JOIN d USING (doc_id)),
+x AS (SELECT DISTINCT doc_id, unnest(generate_series(a, b)) AS pos FROM t WHERE (doc_id, a) > first)
+SELECT documents.doc_id, coalesce(m.n_lines, 0) AS n_lines, coalesce(m.n_deleted, 0) AS n_deleted, m.kept_md5 FROM documents LEFT JOIN (
+  SELECT l.doc_id, count(*) AS n_lines, count(x.pos) AS n_deleted, md5(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (x.pos IS NULL), '')) AS kept_md5
+  FROM l LEFT JOIN x USING (doc_id, pos) GROUP BY l.doc_id) m USING (doc_id)
 """
 
 

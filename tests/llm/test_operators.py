@@ -308,14 +308,55 @@ def test_nearest_in_small_lists(spark):
     assert len(got) == 600 and {r["count"] for r in got} == {20}
 
 
+def lines_by_hand(rows, min_words):
+    """Every run of lines with an earlier copy, one by one; rows in order of their id."""
+    texts = [(i, None if t is None else t.split("\n")) for i, t in rows]
+    seen, out = set(), []
+    for i, lines in texts:
+        gone = set()
+        for a in range(len(lines or ())):
+            for b in range(len(lines), a, -1):
+                if tuple(lines[a:b]) in seen and len(re.findall(r"[^\x20\x09-\x0D]+", " ".join(lines[a:b]))) >= min_words:
+                    gone.update(range(a, b))
+                    break
+            seen.update(tuple(lines[a:b]) for b in range(a + 1, len(lines) + 1))
+        out.append((i, len(lines or ()), len(gone), sum(p - 1 not in gone for p in gone), None if lines is None else "\n".join(x for p, x in enumerate(lines) if p not in gone)))
+    return out
+
+
 def test_lines(spark, odd):
-    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "a\nb"), (4, "a\nb\nc\nd"), (5, None), (6, ""), (7, "q\nq\nq\nq\nq")]
-    got = {r.doc_id: r for r in lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {i: r.text for i, r in got.items()} == {1: "a\nb\nc\nd", 2: "x\ny", 3: "a\nb", 4: "", 5: None, 6: "", 7: "q"}
-    assert (got[2].n_deleted, got[2].n_runs, got[5].n_lines, got[6].n_lines) == (3, 1, 0, 1)
+    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "a\nb"), (4, "a\nb\nc\nd"), (5, None), (6, ""), (7, "q\nq\nq\nq\nq"), (8, "a b c\n\n d e f")]
+    for words in (1, 3):
+        got = [tuple(r) for r in lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), words).orderBy("doc_id").collect()]
+        assert got == lines_by_hand(rows, words)
+    assert got[1][3:] == (1, "x\ny") and got[2][4] == "a\nb" and got[6][4] == "q" and got[5][1] == 1
     assert lines.remove_repeated_lines(odd).count() == len(AWKWARD)
 
 
+def test_lines_by_brute_force(spark):
+    """Runs of every length, some within themselves, some that only several sources make up."""
+    rng = np.random.default_rng(8)
+    passage = [["one two", "", "three", "four five six", "x"], ["seven"] * 7, ["a b", "c", "", "", "d e f g"], [f"line {i}" for i in range(21)]]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(rng.integers(0, 4)):
+            p = passage[rng.integers(4)]
+            a, b = sorted(rng.integers(0, len(p) + 1, 2).tolist())
+            text += p[a:b] + ["own %d" % rng.integers(6)] * int(rng.integers(0, 2))
+        rows.append((i, "\n".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (5, 8):
+        got = [tuple(r) for r in lines.remove_repeated_lines(docs, words).orderBy("doc_id").collect()]
+        assert got == lines_by_hand(rows, words)
+
+
+def test_lines_of_documents_by_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    got = [tuple(r) for r in lines.remove_repeated_lines(docs).orderBy("doc_id").collect()]
+    assert got == lines_by_hand(rows, lines.MIN_WORDS)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
