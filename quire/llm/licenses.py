@@ -1,34 +1,39 @@
 """License scans by MinHash bands over overlapping windows; DataFrame functions only.
 
-Texts become lower-case words and numbers, and windows of them share five-word shingles with
-license templates. For each template length class (8, 16, 32, ... words) windows of twice that
-length start every such length, so any notice lies whole in a window. ``BANDS`` bands of one MinHash
-value each find a window of Jaccard similarity J with a probability of 1 - (1 - J)**64. Templates
-whose least similar match reaches ``SURE`` so are sought by bands; every window that holds a shingle
-of another, such as one of a single shingle, is a candidate. Candidates are verified by the exact
-share of the template's shingles that the window holds, 0.8 or more. A template of fewer than five
-words is one shingle, sought among the runs of as many words of the texts that contain it.
-
-Windows without any shingle of a template can't match and take no further part: one pass joins all
-shingles with the broadcast shingles of the templates (a parameter of the scan, of fixed size), and
-only the documents and windows around hits are read again.
-
-Defined results: null and empty texts match nothing. Rows that repeat a doc_id are judged together; extra columns are ignored.
+Texts become lower-case words and numbers, and windows of their five-word shingles are compared with
+license templates. Templates are dealt to classes by their number of shingles. A class has a stride
+of about half its templates' shingles and windows of so many strides that any notice, wherever it
+stands, lies whole in one. A window's MinHash under a permutation is the least of its strides' least
+hashes. Every band is one such value; a class has as many bands as its worst template needs to share
+one with a window that holds just enough of it with a probability of ``SURE``: 1 - (1 - J)**bands,
+J being the Jaccard similarity of the two. Bands retrieve, nothing else does.
+
+Retrieved windows are verified by the exact share of the template's shingles that they hold, 0.8 or
+more. A template of fewer than five words is one shingle of its length; its windows are single
+shingles and its one band is sure.
+
+The templates' bands are a parameter of the scan and of fixed size; texts keep only windows with one.
+
+Defined results: null and empty texts match nothing, nor do empty templates; equal templates are
+each found. Very long texts are cut into pieces that overlap by more than a window, and windows in an
+overlap count in both. Rows that repeat a doc_id are judged together; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import or_
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .decontaminate import _pieces
 
-FIVE = r"(?=([^ ]++(?: [^ ]++){4}+))[^ ]++"
-SHINGLE, COVER, BANDS, SURE = 5, 0.8, 64, 0.9999
+SHINGLE, COVER, SURE = 5, 0.8, 0.999
+#: Classes of templates by shingles: 1, 2, 3, 4 and on by halves of powers of two.
+GRID = sorted({1, 2, 3} | {n for k in range(2, 16) for n in (1 << k, 3 << k - 1)})
 #: Common notices, abridged where long. Fixed values.
 TEMPLATES = {
     "MIT": "Released under the MIT License",
@@ -46,27 +51,42 @@ TEMPLATES = {
 }
 
 
-def _cut_up(rows: DataFrame, key: str) -> tuple[DataFrame, Column]:
-    """Rows with their text's five-word windows, and the shingles of a row: a shorter text is one,
-    texts without a word have none."""
-    r = rows.select(key, F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")).alias("t"))
-    r = r.select(key, "t", F.expr(f"regexp_extract_all(t, '{FIVE}', 1)").alias("five"))
-    return r, F.when(F.size("five") > 0, F.col("five")).when(F.length("t") > 0, F.array("t"))
+@dataclass(frozen=True)
+class Kind:
+    """A class of templates: words of a shingle, shingles of a stride, strides of a window, bands."""
 
+    words: int
+    stride: int
+    strides: int
+    bands: int
 
-def _hashed(rows: DataFrame, key: str) -> DataFrame:
-    r, shingles = _cut_up(rows, key)
-    return r.select(key, F.transform(shingles, lambda x: F.xxhash64(x)).alias("h"))
+    @classmethod
+    def of(cls, words: int, shingles: int) -> Kind:
+        top = next(n for n in GRID if n >= shingles)
+        stride = -(-top // 2)
+        return cls(words, stride, -(-(top + stride - 1) // stride), 1)
 
+    def needs(self, shingles: int, cover: float) -> int:
+        """Bands that find a full window with the least share of a template that counts."""
+        held = min(max(math.ceil(cover * shingles - 1e-9), 1), shingles)
+        alike = held / max(self.stride * self.strides + shingles - held, held)
+        return 1 if alike == 1 else math.ceil(math.log(1 - SURE) / math.log(1 - alike))
 
-def _minhash(sh: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda s: F.struct(s.alias("band"), F.array_min(F.transform(sh, lambda x: F.xxhash64(x, s))).alias("least")))
 
+def _words(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")).alias("t"))
 
-def _banded(size: int, shingles: int, cover: float) -> bool:
-    """Whether bands find a full window with the least share of the template that counts."""
-    held = min(max(math.ceil(cover * shingles - 1e-9), 1), shingles)
-    return 1 - (1 - held / (2 * size + shingles - held)) ** BANDS >= SURE
+
+def _shingles(n: int) -> Column:
+    """Hashed runs of n words of a text; a shorter text of five-word shingles is one, texts without a
+    word have none."""
+    runs = F.expr(rf"regexp_extract_all(t, '(?=([^ ]++(?: [^ ]++){{{n - 1}}}+))[^ ]++', 1)")
+    runs = F.when(F.size(runs) > 0, runs).when(F.length("t") > 0, F.array("t")) if n == SHINGLE else runs
+    return F.transform(runs, lambda x: F.xxhash64(x))
+
+
+def _permuted(h: Column, bands: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.transform(h, lambda x: F.xxhash64(x, b)))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float = COVER) -> DataFrame:
@@ -74,40 +94,58 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float
     n_windows: windows that match."""
     spark = docs.sparkSession
     given = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license_id string, text string")
-    cut_up, h = _cut_up(given, "license_id")
-    read = cut_up.select("license_id", "t", F.transform(h, lambda x: F.xxhash64(x)).alias("h")).collect()  # a parameter, of fixed size
-    words = lambda r: len(r.t.split(" "))
-    lists = [(r.license_id, sorted(set(r.h))) for r in read if r.h and words(r) >= SHINGLE]
-    short = [(r.license_id, words(r), r.t, r.h[0]) for r in read if r.h and words(r) < SHINGLE]
-    size = lambda h: 1 << max(3, math.ceil(math.log2(len(h) + SHINGLE - 1)))
-    known = cut(spark.createDataFrame([(k, size(h), h) for k, h in lists], "license_id string, class int, th array<bigint>"))
+    size = F.size(F.split("t", " "))
+    read = _words(given, "license_id").where("t <> ''").select("license_id", "t", size.alias("words"))
+    by_words = {}
+    for r in read.collect():  # a parameter, of fixed size
+        by_words.setdefault(min(r.words, SHINGLE), []).append(r.license_id)
+    known = None
+    for n, ids in by_words.items():
+        own = read.where(F.col("license_id").isin(ids)).select("license_id", F.lit(n).alias("words"), F.array_distinct(_shingles(n)).alias("th"))
+        known = own if known is None else known.unionByName(own)
+    sizes = {r.license_id: (r.words, r.n) for r in known.select("license_id", "words", F.size("th").alias("n")).collect()} if known else {}
+    bare = {i: Kind.of(*s) for i, s in sizes.items()}
+    order = sorted(set(bare.values()), key=lambda k: (k.words, k.stride, k.strides))
+    kinds = [replace(k, bands=max(k.needs(sizes[i][1], cover) for i in sizes if bare[i] == k)) for k in order]
+    number = {i: order.index(k) for i, k in bare.items()}
+    if not sizes:
+        return docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("license_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("containment")).where("false")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    r, shingles = _cut_up(text, "doc_id")
-    runs = [shingles]
-    for n in sorted({n for _, n, _, _ in short}):
-        holds = reduce(or_, (F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.lit(f" {t} ")) for _, m, t, _ in short if m == n))
-        runs.append(F.when(holds, F.expr(rf"regexp_extract_all(t, '(?=([^ ]++(?: [^ ]++){{{n - 1}}}+))[^ ]++', 1)")))
-    each = r.select("doc_id", F.explode(F.array_compact(F.array(*runs))).alias("run")).select("doc_id", F.posexplode("run").alias("i", "s")).select("doc_id", "i", F.xxhash64("s").alias("s"))
-    brief = spark.createDataFrame([(k, h) for k, _, _, h in short], "license_id string, s bigint")
-    sought = known.select(F.lit(None).cast("string").alias("license_id"), F.explode("th").alias("s")).distinct().unionAll(brief)
-    all_hits = cut(each.join(F.broadcast(sought), "s").select("doc_id", "license_id", "i").distinct())
-    hits = all_hits.where("license_id is null").select("doc_id", "i")
-    ids = cut(hits.select(F.col("doc_id").alias("d")).distinct())
-    own = _hashed(text.join(ids, F.expr("doc_id <=> d"), "left_semi"), "doc_id").withColumnRenamed("doc_id", "d")
-    near = hits.select("doc_id", "i", F.explode(F.array(*[F.lit(c) for c in sorted({size(h) for _, h in lists} | {size([])})])).alias("class"))
-    at = F.floor(F.col("i") / F.col("class")).cast("int")
-    windows = F.explode(F.array(at, at - 1)).alias("window")
-    near = near.select("doc_id", "class", windows).where("window >= 0").distinct()
-    wide = cut(near.join(own, F.expr("doc_id <=> d")).select("doc_id", "class", "window", F.slice("h", F.col("window") * F.col("class") + 1, 2 * F.col("class")).alias("sh")))
-    banded = wide.select("doc_id", "class", "window", F.explode(_minhash(F.col("sh"))).alias("m")).select("doc_id", "class", "window", "m.*")
-    weak = [k for k, h in lists if not _banded(size(h), len(h), cover)]
-    sought = cut(known.where(~F.col("license_id").isin(weak)).select("license_id", "class", F.explode(_minhash(F.col("th"))).alias("m")).select("license_id", "class", "m.*"))
-    by_bands = banded.join(F.broadcast(sought), ["class", "band", "least"]).select("doc_id", "class", "window", "license_id")
-    direct = wide.join(F.broadcast(known.where(F.col("license_id").isin(weak))), "class").where(F.arrays_overlap("th", "sh"))
-    found = cut(by_bands.unionAll(direct.select("doc_id", "class", "window", "license_id")).distinct())
-    same = wide.doc_id.eqNullSafe(found.doc_id) & (wide["class"] == found["class"]) & (wide.window == found.window)
-    pairs = wide.join(found, same).select(wide.doc_id, "license_id", "sh").join(F.broadcast(known.select("license_id", "th")), "license_id")
-    held = pairs.select("doc_id", "license_id", (F.size(F.array_intersect("th", "sh")) / F.size("th")).alias("containment")).where(F.col("containment") >= cover)
-    whole = all_hits.where("license_id is not null").withColumn("class", F.lit(size([]))).select("doc_id", "license_id", windows, F.lit(1.0).alias("containment"))
-    held = held.unionAll(whole.where("window >= 0").distinct().drop("window"))
+    kind_of = F.element_at(F.create_map(*(F.lit(x) for i, j in number.items() for x in (i, j))), F.col("license_id"))
+    known = cut(known.withColumn("kind", kind_of))
+    most = max(k.bands for k in kinds)
+    sought = known.select("license_id", "kind", F.posexplode(_permuted(F.col("th"), most)).alias("band", "v")).select("license_id", "kind", "band", F.array_min("v").alias("least"))
+    sought = cut(sought.where(F.col("band") < F.element_at(F.array(*(F.lit(k.bands) for k in kinds)), F.col("kind") + 1)))
+    values: dict[tuple[int, int], set[int]] = {}
+    for r in sought.collect():  # a value for each template and band
+        values.setdefault((r.kind, r.band), set()).add(r.least)
+
+    found = None
+    words_of = _words(_pieces(text, "doc_id"), "doc_id", "piece")
+    for n in sorted(by_words):
+        mine = [(j, k) for j, k in enumerate(kinds) if k.words == n]
+        rows = words_of.select("doc_id", "piece", F.posexplode(_permuted(_shingles(n), max(k.bands for _, k in mine))).alias("band", "v")).where("size(v) > 0")
+        least = lambda k: F.transform(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / k.stride).cast("int")), lambda i: F.array_min(F.slice("v", i * k.stride + 1, k.stride)))
+        strides = F.array(*(F.struct(F.lit(j).alias("kind"), F.lit(k.strides).alias("strides"), F.when(F.col("band") < k.bands, least(k)).alias("least")) for j, k in mine))
+        of_band = lambda j, b: F.array(*(F.lit(x) for x in sorted(values.get((j, b), ())))).cast("array<bigint>")
+        asked = F.array(*(F.array(*(of_band(j, b) for b in range(max(k.bands for _, k in mine)))) for j, _ in mine))
+        at = F.array(*(F.lit(j) for j, _ in mine))
+        rows = rows.select("doc_id", "piece", "band", strides.alias("s"))
+        hit = F.filter("s", lambda x: F.arrays_overlap(x["least"], F.element_at(F.element_at(asked, F.array_position(at, x["kind"]).cast("int")), F.col("band") + 1)))
+        rows = rows.select("doc_id", "piece", "band", F.explode(hit).alias("s")).select("doc_id", "piece", "band", F.col("s.kind").alias("kind"), F.col("s.strides").alias("strides"), F.col("s.least").alias("ls"))
+        each = F.transform(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.array_min(F.slice("ls", i + 1, F.col("strides"))))
+        rows = rows.select("doc_id", "piece", "kind", "band", F.posexplode(each).alias("window", "least"))
+        rows = rows.join(F.broadcast(sought), ["kind", "band", "least"]).select("doc_id", "piece", "kind", "window", "license_id")
+        found = rows if found is None else found.unionByName(rows)
+    found = cut(found.distinct())
+
+    ids = found.select(F.col("doc_id").alias("d")).distinct()
+    own = _words(_pieces(text.join(ids, F.expr("doc_id <=> d"), "left_semi"), "doc_id"), "doc_id", "piece")
+    hashed = F.explode(F.array(*(F.struct(F.lit(n).alias("words"), _shingles(n).alias("h")) for n in sorted(by_words))))
+    own = own.select(F.col("doc_id").alias("d"), F.col("piece").alias("p"), hashed.alias("x")).select("d", "p", "x.words", "x.h")
+    pairs = found.join(F.broadcast(known.select("license_id", "words", "th")), "license_id").withColumnRenamed("words", "n")
+    stride, width = (F.element_at(F.array(*(F.lit(x) for x in xs)), F.col("kind") + 1) for xs in ([k.stride for k in kinds], [k.stride * k.strides for k in kinds]))
+    both = pairs.join(own, F.expr("doc_id <=> d and piece = p and n = words")).withColumn("sh", F.slice("h", F.col("window") * stride + 1, width))
+    held = both.select("doc_id", "license_id", "piece", "window", (F.size(F.array_intersect("th", "sh")) / F.size("th")).alias("containment")).where(F.col("containment") >= cover)
+    held = held.groupBy("doc_id", "license_id", "piece", "window").agg(F.max("containment").alias("containment"))
     return held.groupBy("doc_id", "license_id").agg(F.count("*").alias("n_windows"), F.max("containment").alias("containment"))

@@ -264,6 +264,33 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == 0
 
 
+def test_licenses_recall_of_every_template(spark):
+    """Each notice, whole or with a fifth of its shingles lost, is retrieved at any place of a text; what
+    is found is what exact containment finds in all windows."""
+    rng = np.random.default_rng(6)
+    texts, want = [], set()
+    tokens = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    own = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+    for k, t in licenses.TEMPLATES.items():
+        words = tokens(t)
+        for i in range(40):
+            kept = words if i % 2 or len(words) < 15 else [*words[: len(words) // 5 - 2], *words[len(words) // 5 :]] if len(words) > 20 else words
+            fill = [f"w{x}" for x in rng.integers(0, 10**6, 140)]
+            at = int(rng.integers(0, 140))
+            texts.append(fill[:at] + kept + fill[at:])
+    for d, t in enumerate(texts):
+        for k, x in licenses.TEMPLATES.items():
+            n = min(5, len(tokens(x)))
+            a, b = own(tokens(x), n), own(t, n)
+            if len(a & b) / len(a) >= 0.8:
+                want.add((d, k))
+    got = licenses.scan(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = {(r.doc_id, r.license_id) for r in got.collect()}
+    assert got <= want and len(got) >= 0.995 * len(want)
+    lost = {k: sum(x == k for _, x in want - got) for k in licenses.TEMPLATES}
+    assert all(n <= 0.05 * 40 for n in lost.values())
+
+
 def test_licenses_of_one_shingle(spark):
     """An exact MIT line within a text is found wherever it stands."""
     rng = np.random.default_rng(3)
