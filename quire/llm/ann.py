@@ -12,14 +12,19 @@ How many lists are probed is calibrated on the sample: the fewest that hold ``re
 neighbours there. A query whose lists hold fewer than k other vectors goes on until they do; empty
 lists are no probes. Each block is searched whole; there is no cap on candidates.
 
-Defined results: null, empty and zero vectors, those with a null or non-finite component, and those
-whose length isn't the most frequent one take no part. Of rows that repeat a vec_id the smallest
-vector counts. Ties go to the smaller vec_id; extra columns are ignored; an empty table gives none.
+Queries of a list that many probe are dealt to several tasks as well, each with a copy of the block.
+
+Defined results: null, empty and zero vectors and those with a null or non-finite component take no
+part. Rows that repeat a vec_id are queries and candidates of their own; the other rows of a query's
+vec_id are its candidates too. Vectors of one length are searched among each other, as no inner
+product with another length is defined. Ties go to the smaller vec_id; extra columns are ignored; an
+empty table gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 COLUMNS, EPSILON, SEED = 16, 2.1, 7
-SAMPLE = 20_000
+SAMPLE, LISTS = 20_000, 8_192
+#: Queries of a block that one task answers.
+ASKED = 4_096
 
 
 class Index:
@@ -39,7 +46,7 @@ class Index:
         rng = np.random.default_rng(SEED)
         self.longest, self.dim = longest * (1 + 1e-9), sample.shape[1]
         self.turn = np.linalg.qr(rng.standard_normal((self.dim + 1, self.dim + 1)))[0]
-        lists = int(np.clip(np.sqrt(total) / 4, 1, 4096))
+        lists = int(np.clip(np.sqrt(total), 1, LISTS))
         x = self.raise_(sample)
         self.centroids = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
         for _ in range(8):
@@ -104,92 +111,102 @@ def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "row long, query_id long, vec_id long, score double"
 
 
 def _search(index: Index, k: int):
     def run(held: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if held.num_rows and asked.num_rows:
-            x, ids = _vectors(held.column("v"), index.dim), held.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            x, ids = x[order], ids[order]
-            all_q, all_ids, all_bounds = _vectors(asked.column("q"), index.dim), asked.column("query_id").to_numpy(), asked.column("bound").to_numpy()
+            x, ids, rows = _vectors(held.column("v"), index.dim), held.column("vec_id").to_numpy(), held.column("row").to_numpy()
+            order = np.lexsort((rows, ids))
+            x, ids, rows = x[order], ids[order], rows[order]
+            all_q, all_ids, all_bounds, all_rows = _vectors(asked.column("q"), index.dim), asked.column("query_id").to_numpy(), asked.column("bound").to_numpy(), asked.column("row").to_numpy()
             for at in range(0, len(all_q), 512):
-                q, own, bound = all_q[at : at + 512], all_ids[at : at + 512], all_bounds[at : at + 512].copy()
-                seed = np.where(own[:, None] == ids[:256], -np.inf, q @ x[:256].T)
+                q, own, bound, row = (y[at : at + 512] for y in (all_q, all_ids, all_bounds.copy(), all_rows))
+                seed = np.where(row[:, None] == rows[:256], -np.inf, q @ x[:256].T)
                 if seed.shape[1] >= k:
                     bound = np.maximum(bound, -np.partition(-seed, k - 1, axis=1)[:, k - 1] - 1e-12)
                 bound = np.where(np.isfinite(bound), bound, -(index.longest**2) - (q * q).sum(axis=1))
                 i, j = scan(index, q, bound, x)
-                ok = own[i] != ids[j]
+                ok = row[i] != rows[j]
                 i, j = i[ok], j[ok]
                 s = np.einsum("ij,ij->i", q[i], x[j])
                 o = np.lexsort((ids[j], -s, i))
                 i, j, s = i[o], j[o], s[o]
                 nth = np.arange(len(i)) - np.searchsorted(i, i, "left")
-                out.append((own[i[nth < k]], ids[j[nth < k]], s[nth < k]))
-        cols = [np.concatenate([x[c] for x in out]) if out else [] for c in range(3)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+                i, j, s = i[nth < k], j[nth < k], s[nth < k]
+                out.append((row[i], own[i], ids[j], s))
+        cols = [np.concatenate([x[c] for x in out]) if out else [] for c in range(4)]
+        return pa.table({c: pa.array(x, pa.float64() if c == "score" else pa.int64()) for c, x in zip(("row", "query_id", "vec_id", "score"), cols)})
 
     return run
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, v)``: vectors that take part, as arrays of double, one for each vec_id."""
+    """``(row, vec_id, v, dim)``: vectors that take part, as arrays of double, each row with a number."""
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    one = cut(fine.groupBy("vec_id").agg(F.min("v").alias("v")))
-    dim = one.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return one.where(F.size("v") == (dim.d if dim else 0))
+    return cut(fine.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.size("v").alias("dim")))
 
 
 def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, recall: float = 0.96) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows of vectors(vec_id, embedding) that
     ``is_query`` selects, against all rows."""
     rows = usable(vectors)
-    top = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
-    if not top.n:
+    dims = [r.dim for r in rows.select("dim").distinct().collect()]  # a row for each length of vectors
+    parts = [_of_length(rows.where(F.col("dim") == n).drop("dim"), is_query, k, recall) for n in sorted(dims)]
+    if not parts:
         return rows.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "0.0D as score").where("false")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _of_length(rows: DataFrame, is_query: str, k: int, recall: float) -> DataFrame:
+    top = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").toPandas()["v"]
     index = Index(np.stack(sample.to_numpy()), float(np.sqrt(top.m)), top.n, k, recall)
     dim = index.dim
 
     def matrix(b: pa.RecordBatch) -> np.ndarray:
-        return b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        return b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = matrix(b)
-                yield pa.RecordBatch.from_pydict({"list": pa.array(index.lists_of(x), pa.int64()), "vec_id": b.column(0), "v": pa.array([r.tobytes() for r in x], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"list": pa.array(index.lists_of(x), pa.int64()), "row": b.column(0), "vec_id": b.column(1), "v": pa.array([r.tobytes() for r in x], pa.binary())})
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 q = matrix(b)
-                yield pa.RecordBatch.from_pydict({"query_id": b.column(0), "q": pa.array([r.tobytes() for r in q], pa.binary()), "lists": pa.array(index.probed(q, counts, k), pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"row": b.column(0), "query_id": b.column(1), "q": pa.array([r.tobytes() for r in q], pa.binary()), "lists": pa.array(index.probed(q, counts, k), pa.list_(pa.int64()))})
 
-    held = cut(rows.mapInArrow(file, "list long, vec_id long, v binary"))
+    held = cut(rows.mapInArrow(file, "list long, row long, vec_id long, v binary"))
     size = max(256, top.n // len(index.centroids))
     counts = np.zeros(len(index.centroids), np.int64)
-    for r in held.groupBy("list").count().collect():  # a row for each centroid, 4096 at most
+    for r in held.groupBy("list").count().collect():  # a row for each centroid, LISTS at most
         counts[r["list"]] = r["count"]
     blocks = held.groupBy("list").agg(F.ceil(F.count("*") / size).cast("long").alias("blocks"))
-    blocks = F.broadcast(cut(blocks))  # a row for each centroid, 4096 at most
-    filed = held.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    queries = cut(rows.where(is_query).mapInArrow(ask, "query_id long, q binary, lists array<bigint>"))
+    blocks = F.broadcast(cut(blocks))  # a row for each centroid, LISTS at most
+    filed = held.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))).drop("blocks")
+    queries = cut(rows.where(is_query).mapInArrow(ask, "row long, query_id long, q binary, lists array<bigint>"))
 
     def found(lists, bound: DataFrame | None) -> DataFrame:
-        asked = queries if bound is None else queries.join(bound, "query_id", "left")
+        asked = queries if bound is None else queries.join(bound, "row", "left")
         b = F.lit(float("-inf")) if bound is None else F.coalesce("bound", F.lit(float("-inf")))
-        asked = asked.select("query_id", "q", b.alias("bound"), F.explode(lists).alias("list")).join(blocks, "list")
-        asked = asked.select("query_id", "q", "bound", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        return filed.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(_search(index, k), FOUND)
-
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        asked = asked.select("row", "query_id", "q", b.alias("bound"), F.explode(lists).alias("list"))
+        shares = queries.select(F.explode(lists).alias("list")).groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("long").alias("shares"))
+        shares = F.broadcast(cut(shares))  # a row for each centroid, LISTS at most
+        asked = asked.join(blocks, "list").join(shares, "list")
+        asked = asked.select("row", "query_id", "q", "bound", "list", F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares")).alias("share"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        held_ = filed.join(shares, "list").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
+        at = ("list", "block", "share")
+        return held_.groupBy(*at).cogroup(asked.groupBy(*at)).applyInArrow(_search(index, k), FOUND)
+
+    nth = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     start = cut(found(F.slice("lists", 1, 1), None))
-    bound = start.withColumn("nth", nth).where(F.col("nth") == k).select("query_id", (F.col("score") - 1e-12).alias("bound"))
+    bound = start.withColumn("nth", nth).where(F.col("nth") == k).select("row", (F.col("score") - 1e-12).alias("bound"))
     rest = found(F.slice("lists", 2, len(index.centroids)), cut(bound))
     ranked = start.unionByName(rest).withColumn("rank", nth).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

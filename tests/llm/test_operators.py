@@ -327,6 +327,20 @@ def test_nearest(spark):
     assert few.count() == 2
 
 
+def test_nearest_of_repeated_ids_and_lengths(spark, monkeypatch):
+    """Rows of one vec_id are each a query and a candidate; lengths are searched apart; shares of queries."""
+    monkeypatch.setattr(ann, "ASKED", 3)
+    rng = np.random.default_rng(9)
+    rows = [(i % 40, rng.standard_normal(6).tolist()) for i in range(80)] + [(i, rng.standard_normal(4).tolist()) for i in range(5)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, recall=1.0).collect()
+    want = []
+    for n, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted((-float(np.dot(v, w)), j) for m, (j, w) in enumerate(rows) if m != n and len(w) == len(v))[:3]
+            want += [(i, r + 1, j, round(-s, 9)) for r, (s, j) in enumerate(near)]
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+
+
 def test_nearest_in_small_lists(spark):
     """Queries in lists of few vectors have k rows as well, however few lists are probed."""
     rng = np.random.default_rng(2)
