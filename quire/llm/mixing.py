@@ -12,8 +12,9 @@ Ranks and running sizes are windows over (source, segment), with segments by slo
 grow with the square root of the table, and a window over segment totals: no source meets in one
 task, however much of the table it holds.
 
-Defined results: null and empty texts have size 0 and nothing taken; a null source is one source,
-the last; repeated rows are rows of their own. Extra columns are ignored; an empty table gives none.
+Defined results: null and empty texts have size 0 and nothing taken; a very long text is one row; a
+null source is one source, the last; equal sizes and hashes (repeated rows) may stand in either order,
+with the same sums; repeated rows are rows of their own; rows without doc_id are shuffled by text. Extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def _running(rows: DataFrame, of: str, order: list, value: Column) -> DataFrame:
     seg = rows.groupBy(of, "seg").agg(F.sum(value).alias("held"))
     start = seg.select(of, "seg", (F.sum("held").over(Window.partitionBy(of).orderBy("seg")) - F.col("held")).alias("start"))
     own = F.sum(value).over(Window.partitionBy(of, "seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - value
-    return rows.withColumn("own", own).join(cut(start), [of, "seg"]).withColumn("before", F.col("start") + F.col("own"))
+    return rows.withColumn("own", own).join(cut(start).hint("merge"), [of, "seg"]).withColumn("before", F.col("start") + F.col("own"))
 
 
 def schedule(shares: DataFrame, slots: int) -> DataFrame:
@@ -76,7 +77,7 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
 def mix(docs: DataFrame, block_words: int = 32) -> DataFrame:
     """``(doc_id, size, source, source_size, target, taken)`` per row of docs(doc_id, text, source)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("shuffled"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("")).cast("binary")).alias("shuffled"))
     rows = cut(rows)
     shares = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
