@@ -40,6 +40,8 @@ def cut(df: DataFrame) -> DataFrame:
     costs no recomputation of what came before."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession)
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # when the session's JVM ends
     out = spark.read.schema(df.schema).parquet(path)
     out._quire_path = path
     return out

@@ -92,7 +92,7 @@ def _points(bits: int):
 def links(fps: DataFrame, cell_cap: int = 32) -> DataFrame:
     """Edges ``(a, b)`` that connect all distinct fingerprints within 2 bits of each other."""
     cells = fps.select("fp").mapInArrow(_points(4), "fp long, point long")
-    held = cells.withColumn("n", F.count("*").over(Window.partitionBy("point"))).where("n > 1")
+    held = cut(cells.withColumn("n", F.count("*").over(Window.partitionBy("point"))).where("n > 1"))
     small = held.where(F.col("n") <= cell_cap).groupBy("point").agg(F.collect_list("fp").alias("all")).select("all", F.explode("all").alias("a"))
     pairs = small.select("a", F.explode(F.filter("all", lambda b: (b > F.col("a")) & (F.bit_count(b.bitwiseXOR(F.col("a"))) <= 2))).alias("b"))
     crowd = held.where(F.col("n") > cell_cap).select("fp").distinct()
