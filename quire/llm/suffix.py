@@ -9,14 +9,16 @@ one key form a segment. Three passes over the same chunked text follow:
    line that many documents share) is split: its windows go to buckets under their own hashes, and
    those that only one document has are dropped too;
 2. the segments under the other keys go to buckets, once per chunk and text, with their smallest
-   document; there equal segments fall together, and the windows of unequal segments under one key
-   are sorted as suffixes. The sort is a mergesort whose comparisons find the common extension of
+   document; there the suffixes at the ends of segments are sorted, which brings equal segments
+   together, and then all windows of unequal segments under one key. The sort is a mergesort whose comparisons find the common extension of
    two suffixes by binary search over prefix polynomial hashes; the resulting order is verified on
    the bytes themselves, and sorted by bytes if a hash collision ever broke it. Windows equal to one
    of a smaller document are answered per segment as a bit mask;
 3. each chunk turns the answers into removed bytes.
 
-Chunks, buckets and arrays are of bounded size; a hot passage reaches a bucket once per chunk.
+Chunks, buckets and arrays are of bounded size; a hot passage reaches a bucket once per chunk. Buckets
+are of ``bucket_bytes`` up to 4096 of them, then grow to 16 times that, so that a row from a chunk to a
+bucket holds several segments for longer.
 
 Defined results: a null or empty text has 0 bytes and the sha256 of no bytes. Rows that repeat a
 doc_id don't remove each other's bytes; a null doc_id counts as larger than every other. Extra
@@ -362,20 +364,33 @@ def _send_segments(n: int):
     return run
 
 
+def _equal(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The class of equal texts that each is in, and a text of every class. The suffixes at a text's
+    first and last window are sorted; texts of one length whose two suffixes share SPAN bytes are equal,
+    as no text is longer than two windows."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    first = np.cumsum(sizes) - sizes
+    last = first + sizes - SPAN
+    at = np.unique(np.concatenate([first, last]))
+    order, parts = suffix_order(np.frombuffer(b"".join(texts), np.uint8), at)
+    rank = np.empty(len(at), np.int64)
+    rank[np.searchsorted(at, order)] = np.cumsum(parts) - 1
+    both = (rank[np.searchsorted(at, first)] * len(at) + rank[np.searchsorted(at, last)]) * SPAN + sizes - SPAN
+    _, one, of = np.unique(both, return_index=True, return_inverse=True)
+    return of, one
+
+
 def _answer_slice(texts: list[bytes], docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each text: the smallest document that has it, and which of its windows a smaller one has."""
-    place: dict[bytes, int] = {}
-    of = np.array([place.setdefault(x, len(place)) for x in texts], np.int64)
-    low = np.full(len(place), LAST, np.int64)
+    of, one = _equal(texts)
+    low = np.full(len(one), LAST, np.int64)
     np.minimum.at(low, of, docs)
-    key = np.zeros(len(place), np.uint32)
-    key[of] = keys
-    mask = np.zeros(len(place), np.uint32)
+    key = keys[one]
+    mask = np.zeros(len(one), np.uint32)
     _, of_key, times = np.unique(key, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(times[of_key] > 1)
     if len(mixed):
-        names = list(place)
-        several = [names[i] for i in mixed]
+        several = [texts[one[i]] for i in mixed]
         sizes = np.array([len(x) for x in several])
         begins = np.cumsum(sizes) - sizes
         windows = sizes - SPAN + 1
@@ -458,7 +473,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False, chunk_bytes: int = 1 <
     """``(doc_id, n_bytes, n_removed, n_spans, kept)`` per row: what is left of each document, or
     with ``digest`` its sha256 in hex as bytes."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = max(256, -(-total // chunk_bytes)), max(128, -(-total // bucket_bytes))
+    chunks, buckets = max(256, -(-total // chunk_bytes)), max(128, min(-(-total // bucket_bytes), max(4096, -(-total // (16 * bucket_bytes)))))
     text = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     grouped = lambda df: df.groupBy("chunk")
     first = text.groupBy("chunk").applyInArrow(_ask_keys(buckets), ASK).groupBy("bucket").applyInArrow(_answer_keys(1, most_texts), TOLD)

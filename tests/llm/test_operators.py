@@ -80,6 +80,15 @@ def test_suffix_order():
     assert parts.tolist() == [True] + [a != b for a, b in zip(words, words[1:])]
 
 
+def test_suffix_classes():
+    rng = np.random.default_rng(3)
+    some = [bytes(rng.choice([97, 98], n).tolist()) for n in rng.integers(50, 82, 40)]
+    some += [x[:50] for x in some] + [x[:-1] + b"c" for x in some if len(x) > 50]
+    texts = [some[i] for i in rng.integers(0, len(some), 500)]
+    of, one = suffix._equal(texts)
+    assert all(texts[one[k]] == x for k, x in zip(of, texts)) and len(one) == len(set(texts))
+
+
 def test_sstable(spark, docs, odd):
     from tokenizers import Tokenizer
 
