@@ -6,7 +6,13 @@ of about half its templates' shingles and windows of so many strides that any no
 stands, lies whole in one. A window's MinHash under a permutation is the least of its strides' least
 hashes. Every band is one such value; a class has as many bands as its worst template needs to share
 one with a window that holds just enough of it with a probability of ``SURE``: 1 - (1 - J)**bands,
-J being the Jaccard similarity of the two. Bands retrieve, nothing else does.
+J being the Jaccard similarity of the two.
+
+The join of bands runs from the templates' side, whose values are few and known: a window can share a
+band only if it holds the one shingle that gives the template its value, so these shingles (one for
+each template and band, not all of a template's) are looked up in the texts, and the windows round
+them are candidates if their own least hash is that value. That finds the windows that a join of all
+windows' values finds. A plan that works out all values of all windows was five times over the budget.
 
 Retrieved windows are verified by the exact share of the template's shingles that they hold, 0.8 or
 more. A template of fewer than five words is one shingle of its length; its windows are single
@@ -24,6 +30,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,16 +85,15 @@ def _words(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")).alias("t"))
 
 
-def _shingles(n: int) -> Column:
-    """Hashed runs of n words of a text; a shorter text of five-word shingles is one, texts without a
-    word have none."""
+def _runs(n: int) -> Column:
+    """Runs of n words of a text; a shorter text of five-word shingles is one, texts without a word
+    have none."""
     runs = F.expr(rf"regexp_extract_all(t, '(?=([^ ]++(?: [^ ]++){{{n - 1}}}+))[^ ]++', 1)")
-    runs = F.when(F.size(runs) > 0, runs).when(F.length("t") > 0, F.array("t")) if n == SHINGLE else runs
-    return F.transform(runs, lambda x: F.xxhash64(x))
+    return F.when(F.size(runs) > 0, runs).when(F.length("t") > 0, F.array("t")) if n == SHINGLE else runs
 
 
-def _permuted(h: Column, bands: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.transform(h, lambda x: F.xxhash64(x, b)))
+def _shingles(n: int) -> Column:
+    return F.transform(_runs(n), lambda x: F.xxhash64(x))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float = COVER) -> DataFrame:
@@ -96,8 +103,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float
     given = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license_id string, text string")
     size = F.size(F.split("t", " "))
     read = _words(given, "license_id").where("t <> ''").select("license_id", "t", size.alias("words"))
-    by_words = {}
-    for r in read.collect():  # a parameter, of fixed size
+    by_words, brief = {}, read.collect()  # a parameter, of fixed size
+    for r in brief:
         by_words.setdefault(min(r.words, SHINGLE), []).append(r.license_id)
     known = None
     for n, ids in by_words.items():
@@ -113,39 +120,32 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cover: float
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind_of = F.element_at(F.create_map(*(F.lit(x) for i, j in number.items() for x in (i, j))), F.col("license_id"))
     known = cut(known.withColumn("kind", kind_of))
-    most = max(k.bands for k in kinds)
-    sought = known.select("license_id", "kind", F.posexplode(_permuted(F.col("th"), most)).alias("band", "v")).select("license_id", "kind", "band", F.array_min("v").alias("least"))
-    sought = cut(sought.where(F.col("band") < F.element_at(F.array(*(F.lit(k.bands) for k in kinds)), F.col("kind") + 1)))
-    values: dict[tuple[int, int], set[int]] = {}
-    for r in sought.collect():  # a value for each template and band
-        values.setdefault((r.kind, r.band), set()).add(r.least)
-
-    found = None
-    words_of = _words(_pieces(text, "doc_id"), "doc_id", "piece")
+    most, of_kind = max(k.bands for k in kinds), lambda xs: F.element_at(F.array(*(F.lit(x) for x in xs)), F.col("kind") + 1)
+    bands = known.select("license_id", "kind", "words", F.explode("th").alias("x")).select("*", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("band")).where(F.col("band") <= of_kind([k.bands for k in kinds]))
+    bands = bands.groupBy("license_id", "kind", "words", "band").agg(F.min(F.struct(F.xxhash64("x", "band").alias("least"), "x")).alias("m"))
+    bands = cut(bands.select("license_id", "kind", "words", "band", "m.least", "m.x"))
+
+    # a window can only share a template's band if it holds the shingle that gives the template its value
+    words_of, each = _words(_pieces(text, "doc_id"), "doc_id", "piece"), None
     for n in sorted(by_words):
-        mine = [(j, k) for j, k in enumerate(kinds) if k.words == n]
-        rows = words_of.select("doc_id", "piece", F.posexplode(_permuted(_shingles(n), max(k.bands for _, k in mine))).alias("band", "v")).where("size(v) > 0")
-        least = lambda k: F.transform(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / k.stride).cast("int")), lambda i: F.array_min(F.slice("v", i * k.stride + 1, k.stride)))
-        strides = F.array(*(F.struct(F.lit(j).alias("kind"), F.lit(k.strides).alias("strides"), F.when(F.col("band") < k.bands, least(k)).alias("least")) for j, k in mine))
-        of_band = lambda j, b: F.array(*(F.lit(x) for x in sorted(values.get((j, b), ())))).cast("array<bigint>")
-        asked = F.array(*(F.array(*(of_band(j, b) for b in range(max(k.bands for _, k in mine)))) for j, _ in mine))
-        at = F.array(*(F.lit(j) for j, _ in mine))
-        rows = rows.select("doc_id", "piece", "band", strides.alias("s"))
-        hit = F.filter("s", lambda x: F.arrays_overlap(x["least"], F.element_at(F.element_at(asked, F.array_position(at, x["kind"]).cast("int")), F.col("band") + 1)))
-        rows = rows.select("doc_id", "piece", "band", F.explode(hit).alias("s")).select("doc_id", "piece", "band", F.col("s.kind").alias("kind"), F.col("s.strides").alias("strides"), F.col("s.least").alias("ls"))
-        each = F.transform(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.array_min(F.slice("ls", i + 1, F.col("strides"))))
-        rows = rows.select("doc_id", "piece", "kind", "band", F.posexplode(each).alias("window", "least"))
-        rows = rows.join(F.broadcast(sought), ["kind", "band", "least"]).select("doc_id", "piece", "kind", "window", "license_id")
-        found = rows if found is None else found.unionByName(rows)
-    found = cut(found.distinct())
-
-    ids = found.select(F.col("doc_id").alias("d")).distinct()
-    own = _words(_pieces(text.join(ids, F.expr("doc_id <=> d"), "left_semi"), "doc_id"), "doc_id", "piece")
-    hashed = F.explode(F.array(*(F.struct(F.lit(n).alias("words"), _shingles(n).alias("h")) for n in sorted(by_words))))
-    own = own.select(F.col("doc_id").alias("d"), F.col("piece").alias("p"), hashed.alias("x")).select("d", "p", "x.words", "x.h")
-    pairs = found.join(F.broadcast(known.select("license_id", "words", "th")), "license_id").withColumnRenamed("words", "n")
-    stride, width = (F.element_at(F.array(*(F.lit(x) for x in xs)), F.col("kind") + 1) for xs in ([k.stride for k in kinds], [k.stride * k.strides for k in kinds]))
-    both = pairs.join(own, F.expr("doc_id <=> d and piece = p and n = words")).withColumn("sh", F.slice("h", F.col("window") * stride + 1, width))
+        there = words_of if n == SHINGLE else words_of.where(reduce(or_, (F.contains("t", F.lit(r.t)) for r in brief if r.words == n)))
+        rows = there.select("doc_id", "piece", F.posexplode(_runs(n)).alias("i", "run")).select("doc_id", "piece", F.lit(n).alias("words"), "i", F.xxhash64("run").alias("x"))
+        each = rows if each is None else each.unionByName(rows)
+    near = each.join(F.broadcast(bands), ["words", "x"])
+    stride, strides = of_kind([k.stride for k in kinds]), of_kind([k.strides for k in kinds])
+    at = F.floor(F.col("i") / stride).cast("int")
+    windows = F.explode(F.sequence(F.greatest(at - strides + 1, F.lit(0)), at)).alias("window")
+    near = cut(near.select("doc_id", "piece", "words", "kind", "license_id", "band", "least", windows).distinct())
+
+    ids = near.select(F.col("doc_id").alias("d"), F.col("piece").alias("p")).distinct()
+    own = _words(_pieces(text.join(ids.select("d").distinct(), F.expr("doc_id <=> d"), "left_semi"), "doc_id"), "doc_id", "piece")
+    own = own.join(ids, F.expr("doc_id <=> d and piece = p"), "left_semi")
+    hashed = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), _shingles(n).alias("h")) for n in sorted(by_words))))
+    own = own.select(F.col("doc_id").alias("d"), F.col("piece").alias("p"), hashed.alias("x")).select("d", "p", "x.n", "x.h")
+    shared = near.join(own, F.expr("doc_id <=> d and piece = p and n = words")).withColumn("sh", F.slice("h", F.col("window") * stride + 1, stride * strides))
+    shared = shared.where(F.array_min(F.transform("sh", lambda x: F.xxhash64(x, F.col("band")))) == F.col("least"))
+    found = cut(shared.select("doc_id", "piece", "kind", "window", "license_id", "sh").dropDuplicates(["doc_id", "piece", "window", "license_id"]))
+    both = found.join(F.broadcast(known.select("license_id", "th")), "license_id")
     held = both.select("doc_id", "license_id", "piece", "window", (F.size(F.array_intersect("th", "sh")) / F.size("th")).alias("containment")).where(F.col("containment") >= cover)
     held = held.groupBy("doc_id", "license_id", "piece", "window").agg(F.max("containment").alias("containment"))
     return held.groupBy("doc_id", "license_id").agg(F.count("*").alias("n_windows"), F.max("containment").alias("containment"))
