@@ -16,7 +16,8 @@ Overlapping and adjoining deletions merge into maximal runs. Runs of fewer words
 stay.
 
 Ranks are dealt by range over distinct keys, counted map-side, so a line in very many documents is
-one row there; joining ranks and first suffixes back splits hot keys.
+one row there. Ranks and first suffixes are tables of their own, one row a group, so that joining them
+back can broadcast them while small and split hot groups while large.
 
 Defined results: lines are split at \\n; blank lines are lines without words. A null text has no line
 and stays null; an empty text is one empty line; a very long text is as many rows as it has lines.
@@ -75,7 +76,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
             parts = parts.unionByName(groups.join(there, F.expr("doc = d and pos + size = p"), "left").select(*parts.columns))
         parts = cut(parts)
         known = parts.where("rank is not null")
-        first = known.groupBy("number", "size", "rank").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"))
+        first = cut(known.groupBy("number", "size", "rank").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")))
         at = known.join(first, ["number", "size", "rank"]).withColumn("later", F.struct("doc", "pos") > F.col("first"))
         # those that share more get a group of their own, numbered by the group before and the rank; the
         # earliest of them, and those that share no more, are in the old group as well
@@ -85,7 +86,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         groups = cut(both.unionByName(parts.where("rank is null").select(*both.columns)))
     if groups is None:
         return lines.select("doc", "pos", F.lit(0).alias("size")).where("false")
-    low = groups.groupBy("number", "size").agg(F.min(F.struct("doc", "pos")).alias("first"))
+    low = cut(groups.groupBy("number", "size").agg(F.min(F.struct("doc", "pos")).alias("first")))
     return groups.join(low, ["number", "size"]).where(F.struct("doc", "pos") > F.col("first")).groupBy("doc", "pos").agg(F.max("size").alias("size"))
 
 
