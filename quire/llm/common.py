@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,13 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def values(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple]:
+    """Rows of a batch as Python values, made for ``size`` rows at a time, so that a worker never holds
+    all texts of a batch a second time."""
+    for at in range(0, batch.num_rows, size):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, size).columns))
+
+
 def crc32_of_id(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of an id written as text, for folds."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, values
 
 LOWER, UPPER, DIGIT, SPACE, LINE, POINT, LOUD, SIGN, HIGH = range(9)
 _class = np.full(256, SIGN, np.int8)
@@ -78,7 +78,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
     """``(doc_id, x)`` for every row, in a shared table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t) for t in b.column(1).to_pylist()], np.float32).reshape(-1, N_FEATURES)
+            x = np.array([features(t) for _, t in values(b)], np.float32).reshape(-1, N_FEATURES)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), rows], ["doc_id", "x"])
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_path
+from .common import cut, scratch_path, values
 
 MAGIC, KEY = b"QUIRESST", 13
 FOOTER, INDEX = "<QIQIQQB8s", f"<{KEY}sQII"
@@ -189,7 +189,7 @@ class Encoder(dict):
     cut are encoded whole.
     """
 
-    def __init__(self, path: str, held: int = 600_000) -> None:
+    def __init__(self, path: str, held: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -273,7 +273,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | Non
         encoder = _encoder(tokenizer)
         end, sink, writer = encoder.pack([end_id]), None, None
         for b in batches:
-            for part, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for part, doc_id, text in values(b):
                 if writer is None:
                     fs, root = _filesystem(folder)
                     fs.create_dir(root, recursive=True)
