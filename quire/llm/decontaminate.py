@@ -55,11 +55,15 @@ PLAIN, NAMES, WORDS, WIDE = range(4)
 
 def _pieces(rows: DataFrame, key: str, size: int = PIECE, overlap: int = OVERLAP) -> DataFrame:
     """``(key, piece, text)``: texts cut after white space where longer than ``size`` characters, each
-    piece with the beginning of the next."""
+    piece with ``overlap`` characters of what follows, less a word that this cuts."""
     cut_up = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{size}}}(?!\S)|.{{1,{size}}}"), F.lit(0))
     r = rows.select(key, F.when(F.length("text") <= size, F.array("text")).otherwise(cut_up).alias("p"))
-    more = lambda k: F.regexp_extract(F.substring(F.get("p", k + 1), 1, overlap), r"(?s)\A(.*\s|\S*\z)", 1)
-    whole = F.when(F.size("p") <= 1, F.col("p")).otherwise(F.transform("p", lambda x, k: F.concat(x, F.coalesce(more(k), F.lit("")))))
+
+    def more(k: Column) -> Column:
+        behind = F.array_join(F.slice("p", k + 2, 1 - -overlap // size), "")
+        return F.when(F.length(behind) <= overlap, behind).otherwise(F.regexp_extract(F.substring(behind, 1, overlap), r"(?s)\A(.*\s|\S*\z)", 1))
+
+    whole = F.when(F.size("p") <= 1, F.col("p")).otherwise(F.transform("p", lambda x, k: F.concat(x, more(k))))
     return r.select(key, F.posexplode(whole).alias("piece", "text"))
 
 
