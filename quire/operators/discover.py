@@ -63,16 +63,24 @@ def items(files: DataFrame, kind: str, only: list[str] | None = None, root: str
 def artifacts(files: DataFrame, sources: DataFrame) -> DataFrame:
     """``(folder, source, path)``: the log of each of sources(folder, source). In order: the source's
     name in the folder; in a folder of that name; with the older ending there; any log in that folder;
-    a folder of the name cut short with a hash (A6)."""
+    a folder of the name cut short with a hash (A6). Names are looked up by equality: a source's own
+    name, and its beginnings of the lengths that cut names have. Listings compress well and are small
+    only to look at, so they are never broadcast."""
     f = named(files.select("path")).where("ext = 'jsonl'").select(F.col("path"), F.col("name"), F.col("folder").alias("at"))
     parent, own = F.regexp_replace("at", r"/[^/]*$", ""), base_name(F.col("at"))
     f = f.withColumn("parent", parent).withColumn("own", own)
-    direct = sources.join(f, (F.col("at") == F.col("folder")) & (F.col("name") == F.concat("source", F.lit(".jsonl")))).select("folder", "source", "path", F.lit(1).alias("rule"))
-    sub = sources.join(f, F.col("parent") == F.col("folder"))
-    hashed = F.rlike("own", F.lit("-[0-9a-f]{8}$")) & F.startswith("source", F.regexp_replace("own", "-[0-9a-f]{8}$", ""))
-    rule = F.when(F.col("own") == F.col("source"), F.when(F.col("name") == F.concat("source", F.lit(".jsonl")), 2).when(F.col("name") == F.concat("source", F.lit("_transcription.jsonl")), 3).otherwise(4)).when(hashed, 5)
-    nested = sub.select("folder", "source", "path", rule.alias("rule")).where("rule is not null")
-    best = direct.unionByName(nested).groupBy("folder", "source").agg(F.min(F.struct("rule", "path")).alias("b"))
+    f = f.withColumn("hashed", F.when(F.rlike("own", F.lit("-[0-9a-f]{8}$")), F.regexp_replace("own", "-[0-9a-f]{8}$", "")))
+    nested = F.when(F.col("name") == F.concat("own", F.lit(".jsonl")), 2).when(F.col("name") == F.concat("own", F.lit("_transcription.jsonl")), 3).otherwise(4)
+    direct = F.when(F.endswith("name", F.lit(".jsonl")), F.regexp_replace("name", r"\.jsonl\z", ""))
+    place = lambda folder, cut, key, rule: F.struct(F.col(folder).alias("folder"), F.lit(cut).alias("is_cut"), key.alias("key"), rule.alias("rule"))
+    places = F.array(place("at", False, direct, F.lit(1)), place("parent", False, F.col("own"), nested), place("parent", True, F.col("hashed"), F.lit(5)))
+    held = f.select("path", F.explode(places).alias("p")).select("p.*", "path").where("key is not null").groupBy("folder", "is_cut", "key").agg(F.min(F.struct("rule", "path")).alias("b"))
+    sizes = f.where("hashed is not null").agg(F.collect_set(F.length("hashed")).alias("sizes"))
+    s = sources.select("folder", "source").crossJoin(F.broadcast(sizes))
+    cuts = F.filter("sizes", lambda n: n <= F.length("source"))
+    keys = F.concat(F.array(F.struct(F.lit(False).alias("is_cut"), F.col("source").alias("key"))), F.transform(cuts, lambda n: F.struct(F.lit(True).alias("is_cut"), F.substring("source", F.lit(1), n).alias("key"))))
+    each = s.select("folder", "source", F.explode(keys).alias("k")).select("folder", "source", "k.*")
+    best = each.join(held.hint("merge"), ["folder", "is_cut", "key"]).groupBy("folder", "source").agg(F.min("b").alias("b"))
     return best.select("folder", "source", F.col("b.path").alias("path"))
 
 
