@@ -98,10 +98,11 @@ def image_candidates(recorded: Column, folder: Column, identifier: Column, image
 
 
 def found_images(pages: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
-    """pages(by, candidates) with the first candidate that files(path) holds (Q3)."""
+    """pages(by, candidates) with the first candidate that files(path) holds (Q3). Listings compress so
+    well that adaptive plans take millions of paths for a small table, so none is broadcast."""
     each = pages.select(*by, F.posexplode("candidates").alias("_n", "path"))
-    best = each.join(files.select("path").distinct(), "path").groupBy(*by).agg(F.min_by("path", "_n").alias("image_path"))
-    return pages.join(best, by, "left")
+    best = each.join(files.select("path").distinct().hint("merge"), "path").groupBy(*by).agg(F.min_by("path", "_n").alias("image_path"))
+    return pages.join(best.hint("merge"), by, "left")
 
 
 def jobs(files: DataFrame) -> DataFrame:

@@ -50,3 +50,11 @@ def test_artifacts_pair_no_source_with_all_files_of_its_folder(spark):
     assert {(r.source, r.path) for r in rows} == {(f"s{i:06d}", f"/m/s{i:06d}{'/x.jsonl' if i % 2 else '-0123abcd/x.jsonl'}") for i in range(n)}
     keys = [n for _, n in plan if n is not None]
     assert keys and min(keys) > 1  # by folder and name; the folder alone is one key of all rows
+
+
+def test_found_images_broadcast_no_listing(spark):
+    pages = spark.createDataFrame([(i, ["/gone.png", f"/d{i}/a.tif", "/x.png"] if i % 3 else ["/gone.png"]) for i in range(200)], "id int, candidates array<string>")
+    files = spark.createDataFrame([(f"/d{i}/a.tif",) for i in range(0, 200, 2)] + [("/x.png",)], "path string")
+    rows, plan = run(repair.found_images(pages, files, ["id"]))
+    assert {(r.id, r.image_path) for r in rows} == {(i, None if i % 3 == 0 else "/x.png" if i % 2 else f"/d{i}/a.tif") for i in range(200)}
+    assert not [name for name, _ in plan if "Broadcast" in name]
