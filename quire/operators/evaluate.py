@@ -5,28 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, formatting, strip_formatting, words
+from ..functions.distance import char_distance, word_distance
+from ..functions.text import collapse, formatting, strip_formatting
 
+#: What every formatting mark holds one of.
+MARKS = r"[*#<$]|\[[\^I]"
 SUMS = ("char_distance", "ref_chars", "word_distance", "ref_words", "content_char_distance", "content_ref_chars", "content_word_distance", "content_ref_words", "hyp_pages", "ref_pages", "hyp_headings", "ref_headings", "hyp_emphasis", "ref_emphasis")
 
 
-def char_distance(r: Column, h: Column, near: int = 24) -> Column:
-    """Edit distance of two texts (I1): within a band around the diagonal first, and over all only where
-    the texts differ by more."""
-    return F.when(r == h, 0).otherwise(F.coalesce(F.nullif(F.levenshtein(r, h, near), F.lit(-1)), F.levenshtein(r, h)))
-
-
-def word_distance(a: Column, b: Column, alphabet: Column) -> Column:
-    """Edit distance of two arrays of words, each word as one character for its place in the alphabet
-    of both (I1). The alphabet should be a column of its own, so that it is made once a row; up to
-    35,000 different words in a pair."""
-    def as_text(x: Column) -> Column:
-        code = F.transform(x, lambda w: F.lpad(F.hex(F.array_position(alphabet, w) + 19967), 4, "0"))
-        return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
-
-    return F.levenshtein(as_text(a), as_text(b))
-
-
 def rate(distance: Column, size: Column, other: Column) -> Column:
     """Error rate; against an empty reference, what the hypothesis has too much."""
     return F.when(size > 0, distance / size).otherwise(other.cast("double"))
@@ -55,18 +41,22 @@ def align(hyp: DataFrame, ref: DataFrame, keys: list[str], order: str = "line_no
 
 
 def page_metrics(pairs: DataFrame, keep: list[str]) -> DataFrame:
-    """Distances and counts of pairs(ref, hyp), over all text and over content only."""
-    r, h = collapse(F.col("ref")), collapse(F.col("hyp"))
-    cr, ch = collapse(strip_formatting(F.col("ref"))), collapse(strip_formatting(F.col("hyp")))
-    p = pairs.select(*keep, r.alias("r"), h.alias("h"), cr.alias("cr"), ch.alias("ch"), *(F.size(v).alias(f"{s}_{k}") for s in ("ref", "hyp") for k, v in formatting(F.col(s)).items() if k in ("page", "heading", "bold", "italic")))
-    p = p.select("*", *(words(F.col(c)).alias("w" + c) for c in ("r", "h", "cr", "ch")))
-    p = p.select("*", *(F.array_distinct(F.concat("w" + x, "w" + y)).alias("a" + x) for x, y in (("r", "h"), ("cr", "ch"))))
+    """Distances and counts of pairs(ref, hyp), over all text and over content only (I4, I5); texts
+    without marks are content as they are."""
+    n_words = lambda c: F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1).cast("long")
+    kinds = [(f"{s}_{k}", F.size(v)) for s in ("ref", "hyp") for k, v in formatting(F.col(s)).items() if k in ("page", "heading", "bold", "italic")]
+    marked = lambda c: F.rlike(F.coalesce(c, F.lit("")), F.lit(MARKS))
+    p = pairs.select(*keep, "ref", "hyp", collapse(F.col("ref")).alias("r"), collapse(F.col("hyp")).alias("h"), marked(F.col("ref")).alias("rm"), marked(F.col("hyp")).alias("hm"))
+    content = [F.when(F.col(m), collapse(strip_formatting(F.col(c)))).otherwise(F.col(x)).alias("c" + x) for c, x, m in (("ref", "r", "rm"), ("hyp", "h", "hm"))]
+    p = p.select(*keep, "r", "h", *content, *(F.when(F.col("rm" if c[0] == "r" else "hm"), v).otherwise(0).alias(c) for c, v in kinds))
+    other = (F.col("cr") != F.col("r")) | (F.col("ch") != F.col("h"))  # else the content is all there is
+    p = p.select("*", char_distance("r", "h").alias("dc"), word_distance("r", "h").alias("dw"), *(d(F.when(other, F.col("cr")), F.when(other, F.col("ch"))).alias(n) for n, d in (("cdc", char_distance), ("cdw", word_distance))))
     return p.select(
         *keep,
-        char_distance(F.col("r"), F.col("h")).cast("long").alias("char_distance"), F.length("r").cast("long").alias("ref_chars"), F.length("h").cast("long").alias("hyp_chars"),
-        word_distance(F.col("wr"), F.col("wh"), F.col("ar")).cast("long").alias("word_distance"), F.size("wr").cast("long").alias("ref_words"), F.size("wh").cast("long").alias("hyp_words"),
-        char_distance(F.col("cr"), F.col("ch")).cast("long").alias("content_char_distance"), F.length("cr").cast("long").alias("content_ref_chars"),
-        word_distance(F.col("wcr"), F.col("wch"), F.col("acr")).cast("long").alias("content_word_distance"), F.size("wcr").cast("long").alias("content_ref_words"),
+        F.col("dc").alias("char_distance"), F.length("r").cast("long").alias("ref_chars"), F.length("h").cast("long").alias("hyp_chars"),
+        F.col("dw").alias("word_distance"), n_words(F.col("r")).alias("ref_words"), n_words(F.col("h")).alias("hyp_words"),
+        F.coalesce("cdc", "dc").alias("content_char_distance"), F.length("cr").cast("long").alias("content_ref_chars"),
+        F.coalesce("cdw", "dw").alias("content_word_distance"), n_words(F.col("cr")).alias("content_ref_words"),
         *(F.col(f"{s}_{k}").cast("long").alias(f"{s}_{k}s") for s in ("hyp", "ref") for k in ("page", "heading")),
         *((F.col(f"{s}_bold") + F.col(f"{s}_italic")).cast("long").alias(f"{s}_emphasis") for s in ("hyp", "ref")),
     )
