@@ -31,11 +31,15 @@ import re
 import struct
 import sys
 import types
+import unicodedata
 import uuid
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import batched
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
@@ -174,21 +178,122 @@ class Reader:
         return next((v for k, v in self._block(lo) if k == key), None) if lo < len(self.index) else None
 
 
-#: White space before a space: no cut between the two.
-SPACED = re.compile(r"[\s\u180e] ")
+#: No cut between white space and a space.
 CUT = re.compile(r"(?<=[^\s\u180e]) ")
 
 
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """What byte-level pre-tokens are, and the characters that this does not hold for: those that Unicode
+    has not assigned and those beyond its first plane."""
+    kinds = defaultdict(list)
+    for i in range(1 << 16):
+        c = unicodedata.category(chr(i))
+        kinds["S" if c[0] == "Z" or i in (*range(9, 14), 0x85) else "?" if c in ("Cn", "Cs") else c[0] if c[0] in "LN" else "O"].append(i)
+
+    def ranges(kind: str) -> str:
+        at = np.array(kinds[kind])
+        return "".join(f"\\u{x[0]:04x}-\\u{x[-1]:04x}" for x in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1))
+
+    letter, number, other, space = map(ranges, "LNOS")
+    # the library tries the contractions first; nothing before them here begins with their sign
+    return re.compile(f" ?[{letter}]+| ?[{number}]+|'(?:[stmd]|re|ve|ll)| ?[{other}]+|[{space}]+(?![^{space}])|[{space}]+"), re.compile(f"[{ranges('?')}\U00010000-\U0010ffff]")
+
+
+PRE_TOKEN, FOREIGN = _patterns()
+
+
+class Merges:
+    """Byte-pair encoding of many short words at once.
+
+    A word is a column of byte places. Each round merges, in every word that still has a pair of the
+    merges, the pair of lowest rank, the first of equals; a token stays at its first place, and a
+    number for each word has a bit for each place where a token begins.
+    """
+
+    WIDTHS = (4, 8, 12, 16, 24, 32)
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, vocab: dict[str, int], merges: list) -> None:
+        self.byte = np.array([vocab[c] for c in BYTE_LETTERS], np.int32)
+        pairs = {}
+        for rank, m in enumerate(merges):
+            a, b = m.split(" ") if isinstance(m, str) else m
+            pairs[vocab[a] << 32 | vocab[b]] = rank, vocab[a + b]
+        keys = sorted(pairs)
+        self.keys = np.array([*keys, 1 << 62], np.int64)
+        self.rank = np.array([*(pairs[k][0] for k in keys), 0], np.int32)
+        self.made = np.zeros(len(merges), np.int32)
+        for rank, token in pairs.values():
+            self.made[rank] = token
+        self.first = self.ranked(*(self.byte[np.arange(1 << 16) >> s & 255] for s in (8, 0)), 0)
+
+    def ranked(self, a: np.ndarray, b: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+        """Ranks of pairs with their places in the last five bits, ``NONE`` where there is no merge."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.rank[at] << 5 | place, self.NONE)
+
+    def encode(self, words: list[bytes], kind: str) -> list[bytes]:
+        """Ids of words of 1 to 32 bytes, packed as ``kind``."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(size) - size
+        buf = np.frombuffer(b"".join(words) + bytes(32), np.uint8)
+        group = np.searchsorted(self.WIDTHS, size)
+        for g, width in enumerate(self.WIDTHS):
+            own = np.flatnonzero(group == g)
+            for own in np.split(own, range(20_000, len(own), 20_000)) if len(own) else ():
+                token, bits = self._merge(buf[start[own] + np.arange(width)[:, None]], size[own])
+                ids = token.T[(bits[:, None] >> np.arange(width) & 1).astype(bool)].astype(kind)
+                ends = (np.cumsum(np.bitwise_count(bits), dtype=np.int64) * ids.itemsize).tolist()
+                packed = ids.tobytes()
+                for i, a, b in zip(own.tolist(), [0, *ends], ends):
+                    out[i] = packed[a:b]
+        return out
+
+    def _merge(self, b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        token, own, place = self.byte[b], np.arange(b.shape[1]), np.arange(len(b), dtype=np.int32)[:, None]
+        bits = (1 << size) - 1
+        # of the pair that begins at a place: its rank and the place
+        pair = np.full(b.shape, self.NONE, np.int32)
+        found = self.first[b[:-1].astype(np.int32) << 8 | b[1:]]
+        np.copyto(pair[:-1], found | place[:-1], where=(found != self.NONE) & (place[1:] < size))
+        while True:
+            least = pair.min(axis=0)
+            live = least != self.NONE
+            if not live.all():
+                pair, own, least = pair[:, live], own[live], least[live]
+            if not len(own):
+                return token, bits
+            at, of = least & 31, np.arange(len(own))
+            new, bit = self.made[least >> 5], 1 << at.astype(np.int64)
+            before, behind = bits[own] & (bit - 1), bits[own] & -2 * bit
+            gone = behind & -behind
+            behind ^= gone
+            bits[own] ^= gone
+            token[at, own] = new
+            pair[np.bitwise_count(gone - 1), of] = pair[at, of] = self.NONE
+            # the pairs with the tokens behind and before
+            i, j = np.flatnonzero(behind), np.flatnonzero(before)
+            after = np.bitwise_count((behind[i] & -behind[i]) - 1)
+            left = np.frexp(before[j].astype(np.float64))[1] - 1
+            pair[at[i], i] = self.ranked(new[i], token[after, own[i]], at[i])
+            pair[left, j] = self.ranked(token[left, own[j]], new[j], left)
+
+
 class Encoder(dict):
     """Ids of texts by a file of the tokenizers library, added tokens of the file (``<|endoftext|>``)
-    recognised in texts as the library does; as a table, the ids of pieces behind a space.
+    recognised in texts as the library does; as a table, the ids of pre-tokens.
 
-    Byte-level pre-tokens never reach back over a space that follows a non-space, so a text splits
-    there into pieces that encode on their own, and pieces repeat. The table is bounded: it is
-    emptied between texts once it is full. Texts with an added token that could reach over such a
-    cut are encoded whole.
+    Where the file is plain byte-level BPE, texts are cut into pre-tokens here, and those that the
+    table does not hold are encoded for many texts at once (:class:`Merges`). The table is bounded:
+    it is emptied between groups of texts once it is full. Other files, and texts with an added token
+    that takes in spaces or words around it, are encoded whole by the library.
     """
 
+    #: Characters of texts that are encoded at once; longer texts are cut. Bytes of long words held.
+    GROUP, LONG = 1 << 20, 16 << 20
+
     def __init__(self, path: str, held: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -197,11 +302,15 @@ class Encoder(dict):
         self.kind = "I" if self.of.get_vocab_size() > 1 << 16 else "H"
         self.id_bytes = 4 if self.kind == "I" else 2
         parts = json.loads(self.of.to_str())
-        self.byte_level = parts["pre_tokenizer"] == BYTE_LEVEL and parts["normalizer"] is None
-        added = parts["added_tokens"]
-        self.wide = [t["content"] for t in added if " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"]]
-        self.letters = [t["content"].strip(",.") for t in added if t["content"].strip(",.").isalpha()]
-        self.stops = {c: self.whole(c) for c in (",", ".")}
+        model, added = parts["model"], parts["added_tokens"]
+        plain = parts["pre_tokenizer"] == BYTE_LEVEL and not any(parts[k] for k in ("normalizer", "truncation", "padding"))
+        plain = plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        self.merges = Merges(model["vocab"], model["merges"]) if plain and all(c in model["vocab"] for c in BYTE_LETTERS) else None
+        self.wide = [t["content"] for t in added if " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]
+        self.added = {t["content"]: self.pack([t["id"]]) for t in added}
+        self._forget()
+        longest = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile(f"({'|'.join(map(re.escape, longest))})") if added else None
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
@@ -209,30 +318,70 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return self.pack(self.of.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, piece: str) -> bytes:
-        stop = self.stops.get(piece[-1:], b"")
-        word = piece[:-1] if stop else piece
-        # a space and Latin letters are one pre-token, a stop behind them another
-        if not word.isalpha() or max(word) >= "\u0250" or any(t in word for t in self.letters):
-            ids = self.whole(" " + piece)
-        elif stop:
-            ids = self[word] + stop
-        else:
-            text = word if word.isascii() else "".join(map(BYTE_LETTERS.__getitem__, word.encode()))
-            ids = self.pack([t.id for t in self.of.model.tokenize("\u0120" + text)])
-        self[piece] = ids
-        return ids
-
-    def encode(self, text: str | None, end: bytes) -> bytes:
-        """Ids of a text with ``end`` behind them."""
-        if not text:
-            return end
-        if not self.byte_level or any(t in text for t in self.wide):
-            return self.whole(text) + end
-        first, *pieces = CUT.split(text) if SPACED.search(text) else text.split(" ")
-        if len(self) > self.held:
-            self.clear()
-        return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, pieces)) + end
+    def pre_tokens(self, text: str) -> list[str]:
+        """Pre-tokens and added tokens of a text."""
+        if self.marks and self.marks.search(text):
+            parts = self.marks.split(text)
+            return [x for i, part in enumerate(parts) for x in ([part] if i % 2 else self._pre_tokens(part))]
+        return self._pre_tokens(text)
+
+    def _pre_tokens(self, text: str) -> list[str]:
+        if text.isascii() or not FOREIGN.search(text):
+            return PRE_TOKEN.findall(text)
+        out: list[str] = []
+        for i, piece in enumerate(CUT.split(text)):
+            piece = " " + piece if i else piece
+            out += [piece[a:b] for _, (a, b) in self.of.pre_tokenizer.pre_tokenize_str(piece)] if FOREIGN.search(piece) else PRE_TOKEN.findall(piece)
+        return out
+
+    def _forget(self) -> None:
+        self.clear()
+        self.update(self.added)
+        self.long = 0
+
+    def _learn(self, tokens: set[str]) -> None:
+        if len(self) > self.held or self.long > self.LONG:
+            self._forget()
+        new = [t for t in tokens if t not in self]
+        raw = [t.encode() for t in new]
+        short = [i for i, b in enumerate(raw) if len(b) <= Merges.WIDTHS[-1]]
+        self.update(zip([new[i] for i in short], self.merges.encode([raw[i] for i in short], self.kind)))
+        for t, b in zip(new, raw):
+            if len(b) > Merges.WIDTHS[-1]:
+                self[t] = self.pack([x.id for x in self.of.model.tokenize("".join(map(BYTE_LETTERS.__getitem__, b)))])
+                self.long += len(b)
+
+    def encode(self, texts: list[str], end: bytes) -> Iterator[bytes]:
+        """Ids of each text with ``end`` behind them."""
+        at = 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and (size := size + len(texts[to])) <= self.GROUP:
+                to += 1
+            for ids in self._encode(texts[at:to]):
+                yield ids + end
+            at = to
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if not self.merges or self.wide and any(t in x for x in texts for t in self.wide):
+            return list(map(self.whole, texts))
+        if len(texts[0]) > self.GROUP:
+            return [b"".join(self._look_up([x])[0] for x in self._cuts(texts[0]))]
+        return self._look_up(texts)
+
+    def _look_up(self, texts: list[str]) -> list[bytes]:
+        tokens = list(map(self.pre_tokens, texts))
+        self._learn(set().union(*tokens))
+        return [b"".join(map(self.__getitem__, x)) for x in tokens]
+
+    def _cuts(self, text: str) -> Iterator[str]:
+        """Parts of a long text that encode on their own: byte-level pre-tokens never reach back over a
+        space that follows a non-space."""
+        at = 0
+        while (m := CUT.search(text, at + self.GROUP // 2)) is not None:
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:]
 
 
 def _encoder(path: str) -> Encoder:
@@ -273,16 +422,17 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | Non
         encoder = _encoder(tokenizer)
         end, sink, writer = encoder.pack([end_id]), None, None
         for b in batches:
-            for part, doc_id, text in values(b):
-                if writer is None:
-                    fs, root = _filesystem(folder)
-                    fs.create_dir(root, recursive=True)
-                    shard, own = part, f"{root}/.{part:06d}-{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(own)
-                    writer, first, before, copy = Writer(sink, encoder.id_bytes), doc_id, (), 0
-                copy = copy + 1 if before == (doc_id,) else 0
-                before = (doc_id,)
-                writer.add(key_of(doc_id, copy), encoder.encode(text, end))
+            for rows in batched(values(b), 256):
+                for (part, doc_id, _), ids in zip(rows, encoder.encode([text or "" for *_, text in rows], end)):
+                    if writer is None:
+                        fs, root = _filesystem(folder)
+                        fs.create_dir(root, recursive=True)
+                        shard, own = part, f"{root}/.{part:06d}-{uuid.uuid4().hex}"
+                        sink = fs.open_output_stream(own)
+                        writer, first, before, copy = Writer(sink, encoder.id_bytes), doc_id, (), 0
+                    copy = copy + 1 if before == (doc_id,) else 0
+                    before = (doc_id,)
+                    writer.add(key_of(doc_id, copy), ids)
         if writer is not None:
             writer.close()
             size = sink.tell()
@@ -306,8 +456,6 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` of every document, read back from the shards; ``start``
     counts the ids of all documents before, ids are little-endian unsigned 32-bit integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for b in batches:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 fs, at = _filesystem(path)

@@ -105,6 +105,35 @@ def test_sstable(spark, docs, odd):
             start += len(ids) // 4
 
 
+def test_sstable_encoder(docs):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    whole, asked = Tokenizer.from_file(path), []
+
+    class Library:
+        def __getattr__(self, name):
+            asked.append(name)
+            return getattr(whole, name)
+
+    def check(e, texts):
+        want = [np.array(whole.encode(x, add_special_tokens=False).ids, "<u2").tobytes() + b"end" for x in texts]
+        assert list(e.encode(texts, b"end")) == want
+
+    e = sstable.Encoder(path, held=3000)
+    e.of = Library()
+    check(e, [r.text or "" for r in docs.select("text").collect()])
+    assert len(asked) < 100  # piece by piece it was 25,438
+    some = ["a", "the", "ing", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2028", "\u180e", "\u3000", "'s", "'S", "'ll", "'", "12", "\u00b2", "\u2167", "\xe9", "e\u0301", "\u4e2d\u6587", "\ud55c", "\u043f\u0440", "\U0001f600", "\U00020000", "\u0378", "\uffff", "<|endoftext|>", "<|", "|>", "...", "###", "_", "x" * 40, "ab" * 16, "ab" * 17, "\0", "\u200d", "\ufeff"]
+    rng = np.random.default_rng(4)
+    texts = [by.join(rng.choice(some, rng.integers(0, 30)).tolist()) for by in ("", " ") for _ in range(1000)]
+    check(e, texts)
+    e.GROUP, e.LONG = 300, 1000  # cut texts, a table that is emptied often
+    check(e, [*texts, " ".join(texts[:200]), "y" * 2000, "a b" * 900, "\n" * 2000, "ab \n " * 500, "<|endoftext|> " * 90])
+    every = map(chr, (*range(0xD800), *range(0xE000, 0x12000)))
+    check(sstable.Encoder(path), [f"a{c}1{c}{c} {c}#{c} \n{c}" for c in every])
+
+
 def test_sstable_lookup(tmp_path):
     class Sink(list):
         def write(self, b):
