@@ -20,11 +20,15 @@ fewer do, all its windows with names aren't. That is judged with every capitalis
 and, apart from that, without. A document is contaminated by an item if in one of the two 0.8 or
 more of the item's windows are matched.
 
-Two passes. An item that lacks no more than a fifth of its windows has one at least among any fifth
-and one more, so the first pass joins all documents with that many windows of each item, those that
-the fewest items share; the second looks at the documents found, with all windows. No template that
-many items share meets all documents. First-pass windows (an item and a hash) are broadcast up to
-``broadcast_rows`` of them, 16 bytes each, and shuffled beyond.
+Three passes. An item that lacks no more than a fifth of its windows has one at least among any fifth
+and one more, so that many windows of each item are looked for first, those that the fewest items
+share and of these those with the longest runs of plain words. Wherever such a window is matched, in
+whichever form, its plain words stand in the text as they are, and in a row if numbers are left out.
+So the first pass looks for the longest such run of each window in all documents, which takes no forms
+at all; it only leaves documents out that hold none. The second pass joins those it finds with the
+windows themselves, in all forms; the third looks at what is found then, with all windows. No template
+that many items share meets all documents. Runs (a hash) and windows of the second pass (an item and a
+hash) are broadcast up to ``broadcast_rows`` of them, 8 and 16 bytes each, and shuffled beyond.
 
 Defined results: null and empty texts match nothing; an item of fewer than five tokens is one window
 of all of them. Very long texts are cut between words into pieces that overlap by more than an item;
@@ -35,6 +39,9 @@ columns are ignored; an empty table on either side gives an empty result.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,9 +122,31 @@ def _all_windows(docs: DataFrame, lengths: list[int], words: bool) -> DataFrame:
     return r.select("doc_id", "piece", "form", F.posexplode("run").alias("i", "h"))
 
 
+def _runs(text: DataFrame, token: str, lengths: list[int]) -> DataFrame:
+    """``(doc_id, key)``: the hash of ``lengths`` tokens in a row, at each place; fewer at the end of a text."""
+    words = F.transform(F.regexp_extract_all(_folded(F.lower("text")), F.lit(token), F.lit(0)), lambda x: F.xxhash64(x))
+    # outer, as Spark would else work out the words a second time to see whether there are any
+    t = _pieces(text, "doc_id").select("doc_id", words.alias("w")).select("doc_id", "w", F.posexplode_outer("w").alias("i", "x"))
+    keys = [F.xxhash64("x", *[F.get("w", F.col("i") + k) for k in range(1, n)]) for n in lengths]
+    return t.select("doc_id", F.explode(F.array(*keys)).alias("key"))
+
+
+def _folded(c: Column) -> Column:
+    """Lower case of a final sigma depends on what follows, so also on marks."""
+    return F.replace(c, F.lit("\u03c2"), F.lit("\u03c3"))
+
+
+def _anchor(canon: Column, form: Column) -> Column:
+    """The longest run of plain words in a window, numbers left out, up to five; of a window of numbers, these."""
+    left = F.array_join(F.filter(canon, lambda c: c != "#number"), " ")
+    runs = F.transform(F.split(left, "#name|#unit"), lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
+    longest = F.array_max(F.transform(runs, lambda x: F.struct(F.size(x).alias("size"), x.alias("run"))))["run"]
+    return F.slice(F.when(form == WORDS, canon).otherwise(longest), 1, WINDOW)
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """``(item_id, j, a, n, form, h, at, filled)``: window j starts at token a and has n; at and filled
-    are the places and fillers of its names."""
+    """``(item_id, j, a, n, form, h, at, filled, anchor)``: window j starts at token a and has n; at and
+    filled are the places and fillers of its names; anchor is the run of words to look for."""
     r = _texts(items, "item_id").where("t <> ''").select("item_id", "form", F.split("t", " ").alias("c"))
     r = r.join(_forms(items, "item_id").select("item_id", _raw().alias("raw")), "item_id")
     r = r.withColumn("size", F.size("c")).withColumn("words", F.filter(F.transform("c", lambda c, k: F.when((F.col("form") == WORDS) | ~F.startswith(c, F.lit("#")), k)), lambda k: k.isNotNull()))
@@ -131,18 +160,30 @@ def item_windows(items: DataFrame) -> DataFrame:
     r = r.withColumn("n", F.when(F.col("last").isNull(), F.col("size")).otherwise(F.greatest(F.least(F.col("j") + WINDOW, "size"), F.col("last") + 1)) - F.col("a"))
     r = r.withColumn("canon", F.slice("c", F.col("a") + 1, F.col("n")))
     at = F.filter(F.transform("canon", lambda c, k: F.when(c == "#name", k)), lambda k: k.isNotNull())
-    r = r.select("item_id", "j", "a", "n", "form", F.xxhash64("canon").alias("h"), at.alias("at"), "raw")
-    return r.select("item_id", "j", "a", "n", "form", "h", "at", F.transform("at", lambda k: F.get("raw", F.col("a") + k)).alias("filled")).distinct()
+    r = r.select("item_id", "j", "a", "n", "form", F.xxhash64("canon").alias("h"), at.alias("at"), "raw", _anchor(F.col("canon"), F.col("form")).alias("anchor"))
+    return r.select("item_id", "j", "a", "n", "form", "h", "at", F.transform("at", lambda k: F.get("raw", F.col("a") + k)).alias("filled"), "anchor").distinct()
 
 
 def _rarest(asked: DataFrame, sizes: DataFrame, cover: float) -> DataFrame:
-    """``(item_id, h)``: windows of which every item has one that is matched at all."""
+    """``(item_id, h, anchor)``: windows of which every item has one that is matched at all."""
     shared = asked.groupBy("h").agg(F.count_distinct("item_id").alias("items"))
-    each = asked.join(shared, "h").groupBy("item_id", "j").agg(F.max("items").alias("items"))
-    nth = F.row_number().over(Window.partitionBy("item_id").orderBy("items", "j"))
+    each = asked.join(shared, "h").groupBy("item_id", "j").agg(F.max("items").alias("items"), F.min(F.size("anchor")).alias("run"))
+    nth = F.row_number().over(Window.partitionBy("item_id").orderBy("items", F.desc("run"), "j"))
     total = F.count("*").over(Window.partitionBy("item_id"))
     first = each.select("*", nth.alias("nth"), total.alias("total")).join(sizes, "item_id").where((F.col("nth") <= F.col("total") - F.ceil(F.col("n_windows") * cover - 1e-9) + 1))
-    return asked.join(first.select("item_id", "j"), ["item_id", "j"], "left_semi").select("item_id", "h").distinct()
+    return asked.join(first.select("item_id", "j"), ["item_id", "j"], "left_semi").select("item_id", "h", "anchor").distinct()
+
+
+def _near(text: DataFrame, rare: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The documents that hold an anchor of ``rare``; all rows of a doc_id."""
+    anchors = cut(rare.select(F.xxhash64(F.transform("anchor", lambda x: F.xxhash64(_folded(x)))).alias("key"), F.size("anchor").alias("n"), F.rlike(F.get("anchor", F.lit(0)), F.lit("^[0-9]")).alias("number")).distinct())
+    lengths = defaultdict(list)  # five each at most
+    for r in anchors.select("number", "n").distinct().orderBy("number", "n").collect():
+        lengths[r.number].append(r.n)
+    keys = F.broadcast(anchors.select("key")) if anchors.count() <= broadcast_rows else anchors.select("key")
+    runs = [_runs(text, NUMBER if number else r"[a-z\p{L}\p{M}]+", ns) for number, ns in lengths.items()]
+    ids = cut(reduce(DataFrame.unionAll, runs).join(keys, "key", "left_semi").select(F.col("doc_id").alias("d")).distinct()) if runs else text.where("false").select(F.col("doc_id").alias("d"))
+    return cut(text.join(ids, F.expr("doc_id <=> d"), "left_semi"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER, broadcast_rows: int = 500_000) -> DataFrame:
@@ -156,10 +197,11 @@ def contaminated(docs: DataFrame, items: DataFrame, cover: float = COVER, broadc
     lengths, words = sorted({r.n for r in kinds}) or [WINDOW], any(r.words for r in kinds)
 
     rare = cut(_rarest(asked, sizes, cover))
-    rare = F.broadcast(rare) if rare.count() <= broadcast_rows else rare
-    likely = cut(_all_windows(text, lengths, words).join(rare, "h").select("doc_id", "item_id").distinct())
+    near = _near(text, rare, broadcast_rows)
+    rare = F.broadcast(rare.select("item_id", "h")) if rare.count() <= broadcast_rows else rare.select("item_id", "h")
+    likely = cut(_all_windows(near, lengths, words).join(rare, "h").select("doc_id", "item_id").distinct())
     those = likely.select(F.col("doc_id").alias("d")).distinct()
-    text = cut(text.join(those, F.expr("doc_id <=> d"), "left_semi"))
+    text = cut(near.join(those, F.expr("doc_id <=> d"), "left_semi"))
 
     seen = _all_windows(text, lengths, words).select("doc_id", "piece", "i", "h", (F.col("form") == WIDE).alias("open"))
     pair = likely.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"))

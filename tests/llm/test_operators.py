@@ -584,3 +584,28 @@ def test_decontaminate_by_brute_force(spark, monkeypatch):
     assert got == want
     monkeypatch.setattr(decontaminate, "_pieces", lambda r, k, real=decontaminate._pieces: real(r, k, 40, 400))
     assert set(rows(decontaminate.contaminated(*args, broadcast_rows=0))) >= set(want)  # a cut passage counts by its parts too
+
+
+def test_decontaminate_forms_of_few_documents(spark, monkeypatch):
+    """Forms and windows are only made of documents that hold words of an item in a row."""
+    seen, real = set(), decontaminate._all_windows
+
+    def watched(docs, *args):
+        seen.update(r.doc_id for r in docs.select("doc_id").collect())
+        return real(docs, *args)
+
+    monkeypatch.setattr(decontaminate, "_all_windows", watched)
+    item = "Before noon {a} walks {n} miles to the shop and {a} buys {m} apples. Then {a} walks home in the rain"
+    mixed = "Home, Anna buys rain. Tom to the 12 Miles of shop; Apples walks and Then before Noon in {n} hours"
+    texts = "So: " + item.format(a="Peter", n=7, m=9), mixed.format(n=3), "clean text of Anna", mixed.format(n=4) * 50, "", None
+    assert leaks(spark, item.format(a="Anna", n=12, m=3), *texts) == [0]
+    assert seen == {0}
+
+
+def test_decontaminate_runs_of_words(spark):
+    """What is looked for first: numbers alone, a single word, words on both sides of numbers, capitals
+    that change the letter before them."""
+    assert leaks(spark, "3 5 7.5 9 11", "count 3 and 5", "count 3, 5, 7.5, 9, 11 and on", "3 5 7.5 9 12") == [1]
+    assert leaks(spark, "12 + 7 is 3 - 4", "so 99 + 8 is 6 - 5", "so 99 and 8 is 6", "is it") == [0]
+    assert leaks(spark, "Tom has 12 apples", "now Ruth has 7 apples", "Ruth has apples", "apples has 7") == [0]
+    assert leaks(spark, "\u039b\u039f\u0393\u039f\u03a3'Ena \u039b\u039f\u0393\u039f\u03a3'Ena", "duo \u039b\u039f\u0393\u039f\u03a3'Ena \u039b\u039f\u0393\u039f\u03a3'Ena tria", "duo tria") == [0]
